@@ -36,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Caps what goes to Python at once: 10,000 long texts a batch, Spark's default, are too much for a small executor."""
+    for key, value in (("maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) or rows)), ("maxBytesPerBatch", size)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,7 +97,7 @@ class Bitmap:
         place = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1
         rows = df.groupBy(F.expr("0").alias("z"), F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).select("bucket", "bits")
         bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-        for bucket, part in rows.toLocalIterator():
+        for bucket, part in rows.collect():
             at = (bucket - 1) * len(part)
             bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
         return cls(bits)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import each_batch, ragged_list, table
+from ._shared import bounded_batches, each_batch, ragged_list, table
 from ._text import byte_chunks, ragged
 from .pretokens import pieces
 
@@ -148,6 +148,7 @@ def chunk_ids(data: np.ndarray, offsets: np.ndarray, encode_missing, cache: Piec
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``token_ids`` (array of int) and ``token_ends`` (array of int: the byte at which each token ends)."""
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("token_ids", "token_ends")]
     out = T.StructType([df.schema[c] for c in kept] + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("token_ends", T.ArrayType(T.IntegerType(), False))])
 
@@ -165,6 +166,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """Adds ``decoded`` (binary), the bytes of the tokens in a row; null ids count as none."""
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != "decoded"]
     out = T.StructType([df.schema[c] for c in kept] + [T.StructField("decoded", T.BinaryType())])
 
