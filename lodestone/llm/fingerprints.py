@@ -2,7 +2,7 @@
 
 A text is parsed into phrases level by level.  On each level runs of one symbol become one
 symbol; deterministic coin tossing then labels every symbol by the lowest bit in which it
-differs from the one before, four times over, until six labels are left; phrases start
+differs from the one before, three times over, until eight labels are left; phrases start
 at local maxima of the labels, and a phrase is named by a hash of its symbols.  A
 boundary depends on a few symbols around it alone, so equal substrings are parsed alike
 except near their ends, wherever they stand, and share the names of their inner phrases.
@@ -37,15 +37,59 @@ LEVEL = 2
 _LEAST_ID = -(1 << 63)
 
 
+def _low_bits() -> np.ndarray:
+    """Place of the lowest set bit of every 16-bit number; 16 for 0."""
+    out = np.full(1 << 16, 16, np.uint8)
+    for place in reversed(range(16)):
+        out[1 << place :: 1 << (place + 1)] = place
+    return out
+
+
+_LOW = _low_bits()
+
+
 def _toss_table() -> np.ndarray:
-    """Label of a symbol below 128 after another one, as toss[symbol * 128 + other]."""
-    a, b = np.meshgrid(np.arange(128), np.arange(128), indexing="ij")
-    differ = a ^ b
-    low = np.where(differ > 0, np.log2(np.maximum(differ & -differ, 1)), 0).astype(np.int64)
-    return (2 * low + ((a >> low) & 1)).astype(np.uint8).ravel()
+    """Label of a symbol below 256 after another one, as toss[symbol * 256 + other]."""
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(256), np.arange(256), indexing="ij"))
+    low = _LOW[a ^ b] & 7
+    return (2 * low + ((a >> low) & 1)).astype(np.uint8)
 
 
 _TOSS = _toss_table()
+#: Names of the code points below 65536.
+_POINT_NAMES = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x1B873593))
+
+
+def _point_names(points: np.ndarray) -> np.ndarray:
+    names = _POINT_NAMES[points.astype(np.uint16)]
+    high = np.flatnonzero(points > 0xFFFF)
+    names[high] = mix64(points[high].astype(np.uint64) + np.uint64(0x1B873593))
+    return names
+
+
+def _labels(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Deterministic coin tossing: eight labels at most, no two neighbours of a text alike.
+
+    A text's first symbol is labelled as if the one before it differed in the lowest bit.
+    """
+    short = symbols.astype(np.uint16)
+    differ = np.ones(len(short), np.uint16)
+    differ[1:] = short[1:] ^ short[:-1]
+    differ[first] = 1
+    place = _LOW[differ]
+    label = (place << 1) | ((short >> place) & 1).astype(np.uint8)
+    rare = np.flatnonzero(place == 16)  # neighbours that differ in higher bits alone
+    if len(rare):
+        high = symbols[rare] ^ symbols[rare - 1]
+        lowest = np.maximum(high & (~high + np.uint64(1)), np.uint64(1))  # 0 only if hashes collide
+        at = np.frexp(lowest.astype(np.float64))[1].astype(np.uint64) - np.uint64(1)
+        label[rare] = (at * np.uint64(2) + ((symbols[rare] >> at) & np.uint64(1))).astype(np.uint8)
+    for _ in range(2):
+        before = np.empty_like(label)
+        before[1:] = label[:-1]
+        before[first] = label[first] ^ 1
+        label = _TOSS[(label.astype(np.uint16) << 8) | before]
+    return label
 
 
 def _phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,29 +98,16 @@ def _phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = first.copy()
     new[1:] |= names[1:] != names[:-1]
     at = np.flatnonzero(new)
-    symbols = names[at]
+    symbols = names
     if len(at) < n:
+        symbols = names[at]
         runs = np.diff(at, append=n)
         long = np.flatnonzero(runs > 1)
         symbols[long] = mix64(symbols[long] + runs[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         first = first[at]
-    left = np.empty_like(symbols)
-    left[1:] = symbols[:-1]
-    left[first] = symbols[first] ^ np.uint64(1)
-    differ = symbols ^ left
-    same = np.flatnonzero(differ == 0)  # only if two hashes collide
-    differ[same] = 1
-    lowest = differ & (~differ + np.uint64(1))
-    place = (np.frexp(lowest.astype(np.float64))[1] - 1).astype(np.uint64)
-    label = (place * np.uint64(2) + ((symbols >> place) & np.uint64(1))).astype(np.int32)
-    before = np.empty_like(label)
-    for _ in range(3):
-        before[1:] = label[:-1]
-        before[first] = label[first] ^ 1
-        label = _TOSS[label * 128 + before].astype(np.int32)
-    peak = np.zeros(len(label), bool)
-    peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~first[2:]  # a text's last symbol is no peak
-    begins = peak | first
+    label = _labels(symbols, first)
+    begins = first.copy()
+    begins[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~first[2:]  # a text's last symbol is no peak
     starts = np.flatnonzero(begins)
     return slice_hashes(symbols, starts, np.append(starts[1:], len(symbols))), first[starts]
 
@@ -86,7 +117,7 @@ def sketches(points: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     texts = len(bounds) - 1
     sizes = np.diff(bounds)
     alive = np.flatnonzero(sizes > 0)
-    names = mix64(points.astype(np.uint64) + np.uint64(0x1B873593))
+    names = _point_names(points)
     first = np.zeros(len(names), bool)
     first[bounds[:-1][alive]] = True
     kept, kept_doc = [], []

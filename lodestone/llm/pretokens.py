@@ -95,7 +95,7 @@ def _newer_letters(table: np.ndarray) -> None:
     """Code points that this Python's Unicode data doesn't know get the class that the tokenizers library gives them."""
     from tokenizers.pre_tokenizers import ByteLevel
 
-    unknown = [c for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"]
+    unknown = [c for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn"]
     split = ByteLevel(add_prefix_space=False, use_regex=True)
     for before, cls in (("a", LETTER), ("1", DIGIT)):
         ends = dict(span for _, span in split.pre_tokenize_str("".join(f"{before}{chr(c)}\n" for c in unknown)))
@@ -108,7 +108,7 @@ def _newer_letters(table: np.ndarray) -> None:
 def class_table() -> np.ndarray:
     """Class of every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
+    for c in range(0x40000):  # behind these planes there are no letters
         kind = unicodedata.category(chr(c))[0]
         if kind == "L":
             table[c] = LETTER

@@ -69,7 +69,7 @@ def _fold_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: what it folds to on its own, and which letter it stands for beside letters (0: none)."""
     plain = np.full(0x110000, _GAP, np.uint32)
     beside = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
+    for c in (*range(0x40000), *range(0xE0000, 0xE0200)):
         kind = unicodedata.category(ch := chr(c))
         if kind[0] == "L":
             low = unicodedata.normalize("NFKD", ch).lower()[:1] if c > 0x7F else ch.lower()
