@@ -17,8 +17,9 @@ the other half; the lexicon that is used comes from both.  That bound is a param
 
 Defined results: null and empty texts have no hits and get the curve's value for none.
 Rows stay one by one.  Labels of an id count once, toxic if any of them is; null ids
-and null labels are left out of the fit.  Without toxic or without clean rows the
-lexicon is empty and the score is the smoothed share of toxic labels.  Other columns
+and null labels are left out of the fit.  Without toxic or without clean rows, or
+where no word tells them apart, the lexicon is empty and the score is the smoothed share of
+toxic labels.  Other columns
 pass through; a column of an output's name is replaced.
 """
 
@@ -266,8 +267,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exc
     data = rows.select("text", "y", "half").mapInArrow(found, ", ".join(f"{w} double" for w in weights) + ", words long, y int").toArrow()
     curves = [_curve(*(data[c].to_numpy() for c in (w, "words", "y")), totals, prior) for w in weights]
     (curve, _), floor = min(zip(curves, FLOORS, strict=True), key=lambda c: c[0][1])
-    entries = _entries(sums, "clean0 + clean1", "toxic0 + toxic1")
-    return Lexicon(tuple(e for e in entries if e[1] >= floor), exceptions, curve)
+    entries = tuple(e for e in _entries(sums, "clean0 + clean1", "toxic0 + toxic1") if e[1] >= floor)
+    return Lexicon(entries, exceptions, curve if entries else (prior, 0.0, 0.0))
 
 
 def _entries(sums: DataFrame, clean: str, toxic: str) -> tuple[tuple[str, float], ...]:

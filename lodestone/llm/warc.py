@@ -154,8 +154,9 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 def write_warc(derived: DataFrame, path: str) -> None:
     """Writes the records as text files of Spark, one stream of records for each partition."""
-    both = F.concat("metadata", "conversion")
-    derived.select(F.decode(both, "UTF-8").alias("value")).write.option("lineSep", "").text(path)
+    both = F.decode(F.concat("metadata", "conversion"), "UTF-8")
+    line = F.substring(both, F.lit(1), F.length(both) - 1)  # the line end that the writer adds is the records' last one
+    derived.select(line.alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
