@@ -344,6 +344,16 @@ SELECT file_path, chunk_name, text FROM (
   SELECT path AS file_path, CASE WHEN {_KEPT} THEN name ELSE 'n' END AS chunk_name, 'unknown_fn' AS text, start AS a, 1 AS b FROM p
   UNION ALL SELECT path, name, 'Base', start, CASE WHEN {_KEPT} THEN 2 ELSE 0 END FROM p
 ) ORDER BY file_path, a, b LIMIT 20
+""",
+    "sample_resolved": _NATIONS
+    + f"""
+, f AS (SELECT n.path, 'f_' || c_custkey AS chunk, c_custkey, (SELECT 'S' || min(key) FROM s WHERE s.k = n.k) AS first FROM cu JOIN n USING (k))
+SELECT file_path, chunk_name, text FROM (
+  SELECT path AS file_path, CASE WHEN {_KEPT} THEN name ELSE 'm' END AS chunk_name, 'nxt' AS text, start * 10 AS a, 1 AS b FROM p
+  UNION ALL SELECT path, CASE WHEN {_KEPT} THEN name ELSE 'n' END, 'helper', start * 10 + CASE WHEN {_KEPT} THEN 0 ELSE 1 END, 2 FROM p
+  UNION ALL SELECT path, CASE WHEN {_KEPT} THEN name ELSE 'm' END, 'self.n', start * 10, 3 FROM p
+  UNION ALL SELECT path, chunk, first, 1000000000 + c_custkey, 1 FROM f UNION ALL SELECT path, chunk, first || '(x).m', 1000000000 + c_custkey, 2 FROM f
+) ORDER BY file_path, a, b LIMIT 10
 """,
     "suspicious_refs": """
 SELECT 'p' || (p_partkey % 7) AS file_path, p_partkey::INTEGER AS ord, p_brand AS chunk_name, 'g' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '.run' ELSE '' END AS text FROM part
