@@ -50,32 +50,40 @@ def _skeleton(d: Column) -> Column:
     return F.array_join(F.concat(lines, F.when(_footer().isNotNull(), F.array(_footer())).otherwise(F.array().cast("array<string>"))), "\n")
 
 
+def _emitted(d: Column, budget: Column) -> Column:
+    """Whether a definition is a chunk."""
+    return (d["parent"] < 0) | (_size(_parent(d)) > budget)
+
+
+def _name(d: Column) -> Column:
+    return full_name(d["name"], d["namespace"], d["enclosing_class"])
+
+
+def _id(d: Column) -> Column:
+    return chunk_id(F.col("path"), d["start"], _name(d))
+
+
 def annotate(parsed: DataFrame, budget: int = settings.DEFINITION_BUDGET, threshold: int = settings.FILE_SKELETON_THRESHOLD) -> DataFrame:
-    """Adds to each file: which definitions are chunks, their ids and full names, and the id of the file's overview."""
+    """Files without errors, with the budget and the id of the file's overview (null for small files)."""
     check_budgets(budget, threshold)
-    good = parsed.where("parse_error is null")
-    whole = F.octet_length("content") > threshold
-    return (
-        good.withColumn("emitted", F.transform("defs", lambda d: (d["parent"] < 0) | (_size(_parent(d)) > budget)))
-        .withColumn("kept_whole", F.transform("defs", lambda d: (_size(d) <= budget) | (d["nested"] == 0)))
-        .withColumn("names", F.transform("defs", lambda d: full_name(d["name"], d["namespace"], d["enclosing_class"])))
-        .withColumn("ids", F.transform("defs", lambda d: chunk_id(F.col("path"), d["start"], F.get("names", d["id"]))))
-        .withColumn("file_id", F.when(whole, file_skeleton_id(F.col("path"))))
-    )
+    file_id = F.when(F.octet_length("content") > threshold, file_skeleton_id(F.col("path")))
+    return parsed.where("parse_error is null").withColumn("file_id", file_id).withColumn("budget", F.lit(budget))
 
 
 def chunks(annotated: DataFrame) -> DataFrame:
     """One row a chunk, ``ord`` being its place in the file (the file's overview is first, at -1); without references."""
     path, content = F.col("path"), F.col("content")
 
+    budget = F.col("budget")
+
     def of(d: Column) -> Column:
         at = d["id"]
-        kept = F.get("kept_whole", at)
+        kept = (_size(d) <= budget) | (d["nested"] == 0)
         code = F.when(kept, byte_text(content, d["start"], d["end"])).otherwise(_skeleton(d))
-        folded = F.when(kept, F.slice("names", at + 2, d["nested"])).otherwise(F.array().cast("array<string>"))
+        folded = F.when(kept, F.transform(F.slice("defs", at + 2, d["nested"]), _name)).otherwise(F.array().cast("array<string>"))
         return F.struct(
-            F.get("ids", at).alias("chunk_id"),
-            F.get("names", at).alias("full_name"),
+            _id(d).alias("chunk_id"),
+            _name(d).alias("full_name"),
             d["name"].alias("name"),
             path.alias("file_path"),
             d["start"].alias("start_byte"),
@@ -88,7 +96,7 @@ def chunks(annotated: DataFrame) -> DataFrame:
             d["type"].alias("node_type"),
             F.when(kept, schema.DEFINITION).otherwise(schema.DEFINITION_SKELETON).alias("kind"),
             F.length(code).alias("size_chars"),
-            F.when(d["parent"] >= 0, F.get("ids", d["parent"])).otherwise(F.col("file_id")).alias("parent_chunk_id"),
+            F.when(d["parent"] >= 0, _id(_parent(d))).otherwise(F.col("file_id")).alias("parent_chunk_id"),
             folded.alias("contained_symbols"),
             at.alias("ord"),
         )
@@ -114,7 +122,7 @@ def chunks(annotated: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("contained_symbols"),
         F.lit(-1).alias("ord"),
     )
-    own = F.transform(F.filter("defs", lambda d: F.get("emitted", d["id"])), of)
+    own = F.transform(F.filter("defs", lambda d: _emitted(d, budget)), of)
     first = F.when(F.col("file_id").isNotNull(), F.array(file_chunk))
     return annotated.select(F.inline(F.concat(F.coalesce(first, F.slice(F.array(file_chunk), 1, 0)), own)))
 
@@ -127,17 +135,16 @@ def refs(annotated: DataFrame) -> DataFrame:
 
     def of(r: Column) -> Column:
         inner = F.get("defs", r["def"])
-        owner = F.get(F.filter(inner["ancestors"], lambda a: F.get("emitted", a)), F.lit(0))
+        owner = F.get(F.filter(inner["ancestors"], lambda a: _emitted(F.get("defs", a), F.col("budget"))), F.lit(0))
         d = F.get("defs", owner)
-        name = F.get("names", owner)
         return F.struct(
             F.col("path").alias("file_path"),
             r["ord"].alias("ord"),
-            F.when(r["def"] >= 0, F.get("ids", owner)).otherwise(F.col("file_id")).alias("chunk_id"),
+            F.when(r["def"] >= 0, _id(d)).otherwise(F.col("file_id")).alias("chunk_id"),
             F.when(r["def"] >= 0, owner).otherwise(-1).alias("chunk_ord"),
             F.when(r["def"] >= 0, d["name"]).otherwise(last_segment(F.col("path"))).alias("chunk_name"),
             F.col("language").alias("language"),
-            F.when(r["def"] >= 0, F.coalesce(F.when(d["enclosing_class"] != "", d["enclosing_class"]), name)).alias("self_class"),
+            F.when(r["def"] >= 0, F.coalesce(F.when(d["enclosing_class"] != "", d["enclosing_class"]), _name(d))).alias("self_class"),
             r["text"].alias("text"),
             r["kind"].alias("kind"),
             r["start"].alias("start_byte"),
