@@ -42,6 +42,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+def compact(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table in as few partitions as its rows ask for: small ones in a single one, where joins and sums need no shuffle."""
+    return df.coalesce(1) if df.limit(most + 1).count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,12 +82,12 @@ def binary_slices(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
 
 
-#: Bits of a membership bitmap: 16 MB at most, however many members it has.
-BITMAP_BITS = 1 << 27
+#: Bits of a membership bitmap at most: 128 MB, however many members it has.
+BITMAP_BITS = 1 << 30
 
 
 class Bitmap:
-    """Members by hash, in a fixed number of bits.
+    """Members by hash, in 32 bits for each of them, up to a fixed number of bits.
 
     A superset: a hash that collides counts as a member.  Users must be right with
     any superset, so that the bitmap may be broadcast at every input size.
@@ -93,20 +98,18 @@ class Bitmap:
 
     @classmethod
     def of(cls, df: DataFrame, column: str) -> Bitmap:
-        """Built on the executors; at most BITMAP_BITS / 8 bytes reach the driver."""
-        place = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1
-        rows = df.groupBy(F.expr("0").alias("z"), F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).select("bucket", "bits")
-        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+        """Built on the executors from a written table; at most BITMAP_BITS / 8 bytes reach the driver."""
+        size = min(max(1 << (32 * df.count()).bit_length(), 1 << 15), BITMAP_BITS)
+        place = F.pmod(F.col(column), F.lit(size)) + 1
+        rows = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).select("bucket", "bits")
+        bits = np.zeros(size // 8, np.uint8)
         for bucket, part in rows.collect():
             at = (bucket - 1) * len(part)
             bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
         return cls(bits)
 
-    def __contains__(self, _: object) -> bool:
-        raise TypeError("use has()")
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+        at = hashes.view(np.uint64) & np.uint64(8 * len(self.bits) - 1)
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import compact, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     unsummed.  Rounds grow with the logarithm of the longest chain.
     """
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    current, before = written(current, "edges"), None
+    current, before = compact(written(current, "edges")), None
     while True:
-        current = written(_small_star(_large_star(current)), "edges")
+        current = compact(written(_small_star(_large_star(current)), "edges"))
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -15,13 +15,15 @@ and the number of regions that it shares leave room for the similarity, and if t
 shingle counts by hash class, whose L1 distance never exceeds the sets' distance, do too.
 What is left is compared set by set.
 
-Large regions recur.  Their shingles move to the end of the order, which deals the documents
-anew over rarer pivots; a region that is still large consists of documents that are made of
-common shingles.  There documents themselves are pivots: every member is compared with the
-least one, the linked ones are done, and by the triangle inequality a member of distance d
-from the pivot can only have unlinked partners of distance d - e to d + e, so the window that
-the unlinked ones leave open is what the next pivot gets.  After ``PIVOTS`` pivots the pairs
-left open in a region, of members not yet in one group, are compared one by one.
+Large regions recur.  Their shingles move to the end of the order, and with them those that are
+frequent behind the windows of the same documents, which deals the documents anew over rarer
+pivots.  What is in a region that is still large is dealt once more, by whole sets, the shingles
+that the fewest of these documents have coming first.  What is large even then consists of
+documents that have nearly all in common with many others.  There documents themselves are pivots: all members are compared with the smallest one, and by the
+triangle inequality a member at distance d from it can only have partners at distance d - e to
+d + e.  (Where the class counts rule a link out, their bound serves as the distance, and the sets
+aren't compared.)  Later pivots are taken outside of the region's main group and compared with the
+members of other groups in their window.  What is outside after ``PIVOTS`` pivots is compared one by one.
 
 Groups are found, not all pairs: a link is looked for until its ends are in one group.
 
@@ -42,14 +44,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Bitmap, binary_slices, bounded_batches, each_batch, table, written
+from ._shared import Bitmap, binary_slices, bounded_batches, compact, each_batch, table, written
 from ._text import Words, byte_chunks, mix64, ragged
 from .components import components
 
 #: Members up to which a region joins directly.
 REGION = 64
-#: Document pivots of a large region before the pairs left open are compared one by one.
-PIVOTS = 6
+#: Document pivots of a large region before what is still outside of its main group is compared one by one.
+PIVOTS = 4
 CLASSES = 64
 _NODES = "node long, n long, fp1 long, fp2 long"
 
@@ -175,6 +177,7 @@ def _whole_sets(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     Which texts are read again is told by a bitmap of fixed size; what it lets through needlessly is dropped by the join.
     """
+    nodes = written(nodes, "wanted")
     wanted = Bitmap.of(nodes.select(F.xxhash64("first_doc").alias("h")), "h")
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
@@ -224,18 +227,24 @@ def _direct_pairs(regions: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("shared") + F.greatest(_left(na, percent), _left(nb, percent)) >= _room(na + nb, percent)).drop("shared")
 
 
-def _by_classes(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose counts by hash class lie near enough: their L1 distance is a lower bound of the sets' distance."""
+def _with_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds ``most``, which the shingles in common can't exceed: the L1 distance of the counts by hash class is no more than the sets'."""
+    extra = [c for c in pairs.columns if c not in ("a", "na", "b", "nb")]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("ca", "cb"))
         n = np.asarray(batch.column("na"), np.int64) + np.asarray(batch.column("nb"), np.int64)
-        share = -(-n * percent // (100 + percent))
-        yield batch.select(["a", "na", "b", "nb"]).filter(pa.array(np.abs(a - b).sum(axis=1) <= n - 2 * share))
+        kept = batch.select(["a", "na", "b", "nb", *extra])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((n - np.abs(a - b).sum(axis=1)) // 2)], [*kept.schema.names, "most"])
+
+    slim, kinds = nodes.select("node", "classes"), dict(pairs.dtypes)
+    both = pairs.join(slim.toDF("a", "ca"), "a").join(slim.toDF("b", "cb"), "b").select("a", "na", "b", "nb", *extra, "ca", "cb")
+    return both.mapInArrow(each_batch(run), ", ".join(f"{c} {kinds[c]}" for c in ("a", "na", "b", "nb", *extra)) + ", most long")
+
 
-    slim = nodes.select("node", "classes")
-    both = pairs.join(slim.toDF("a", "ca"), "a").join(slim.toDF("b", "cb"), "b")
-    return both.mapInArrow(each_batch(run), "a long, na long, b long, nb long")
+def _by_classes(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the counts by hash class leave room for a link."""
+    return _with_bound(pairs, nodes).where(_linked(percent, "most")).drop("most")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,40 +262,106 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(each_batch(run), ", ".join(f"{c} {kinds[c]}" for c in ("a", "b", *extra)) + ", common long")
 
 
-def _linked(percent: int) -> Column:
-    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
-
-
-def _pivot_join(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what the large regions hold, by document pivots; ``links`` are those known already."""
-    radius = 1 - percent / 100
-    open_rows = members
-    for _ in range(PIVOTS):
-        pivots = open_rows.groupBy("pivot").agg(F.min(F.struct("node", "n")).alias("c"))
-        rows = open_rows.join(pivots, "pivot").select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c.node").alias("a"), F.col("c.n").alias("na")).where("a <> b")
-        rows = written(rows, "rows")
-        compared = written(_distances(rows.select("a", "na", "b", "nb").distinct(), sets), "compared")
-        links = written(links.unionByName(compared.where(_linked(percent)).select("a", "b")), "links")
-        labels = components(links)
-        near = (
-            rows.join(compared.select("a", "b", "common"), ["a", "b"])
-            .withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
-            .join(labels.toDF("a", "la"), "a", "left")
-            .join(labels.toDF("b", "lb"), "b", "left")
-            .withColumn("apart", F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        )
-        near = written(near.select("pivot", "b", "nb", "d", "apart"), "near")
-        edge = near.where("apart").groupBy("pivot").agg(F.min("d").alias("edge"))
-        open_rows = near.join(edge, "pivot").where(F.col("d") >= F.col("edge") - radius - 1e-9).select("pivot", F.col("b").alias("node"), F.col("nb").alias("n"))
-        open_rows = written(open_rows, "open")
-        if open_rows.isEmpty():
+def _linked(percent: int, common: str = "common") -> Column:
+    return F.col(common) * 100 >= (F.col("na") + F.col("nb") - F.col(common)) * percent
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after links have joined labels to groups."""
+    between = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    groups_ = components(between).toDF("label", "group")
+    return compact(written(labels.join(groups_, "label", "left").select("node", F.coalesce("group", "label").alias("label")), "labels"))
+
+
+def _pivot_join(members: DataFrame, sets: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what the large regions hold, by document pivots; ``links`` are those known already.
+
+    A region's first pivot is its smallest set, as what the members have in common is most of it; the distances to it, or
+    their bounds, give every member its window.  Each later pivot is the smallest set outside of the region's main group.  It
+    is compared with all members of other groups that its window reaches, and is done.
+    """
+    radius = 1 - percent / 100 + 1e-9
+    own = members.select("node").distinct()
+    nodes = compact(written(nodes.join(own, "node", "left_semi").select("node", "classes"), "classes"))
+    sets = compact(written(sets.join(own, "node", "left_semi"), "sets"), 20_000)
+    labels = compact(written(own.withColumn("label", F.col("node")), "labels"))
+    labels = _merged(labels, links)
+    rows = compact(written(members.select("pivot", "node", "n", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("used")), "rows"))
+    here = [F.col(c) for c in ("pivot", "node", "n", "low", "high")]
+    for turn in range(PIVOTS):
+        named = rows.join(labels, "node")
+        sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        named = compact(written(named.join(main, "pivot"), "named"))
+        if named.isEmpty():
             return links
-    labels = components(links)
-    x = open_rows.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    y = x.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = x.join(y, "pivot").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & _near_sizes(F.col("n"), F.col("nb"), percent))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
-    return links.unionByName(_distances(pairs, sets).where(_linked(percent)).select("a", "b"))
+        outside = named if turn == 0 else named.where("not used and label <> main")
+        pivots = outside.groupBy("pivot").agg(F.min(F.struct("n", "node", "label", "low", "high")).alias("c"))
+        pairs = named.join(pivots, "pivot").where("node <> c.node")
+        if turn:
+            reach = (F.col("low") - F.col("c.high") <= radius) & (F.col("c.low") - F.col("high") <= radius)
+            pairs = pairs.where(reach & (F.col("label") != F.col("c.label")) & _near_sizes(F.col("n"), F.col("c.n"), percent))
+        pairs = pairs.select("pivot", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+        pairs = compact(written(pairs, "pairs"))
+        bounds = compact(written(_with_bound(pairs.drop("pivot").distinct(), nodes), "bounds"))
+        exact = compact(written(_distances(bounds.where(_linked(percent, "most")), sets), "exact"))
+        found = exact.where(_linked(percent)).select("a", "b")
+        links = links.unionByName(found)
+        labels = _merged(labels, found)
+        chosen = pivots.select("pivot", F.col("c.node").alias("chosen"))
+        rows = rows.join(chosen, "pivot", "left").withColumn("used", F.col("used") | F.coalesce(F.col("node") == F.col("chosen"), F.lit(False))).drop("chosen")
+        if turn == 0:
+            known = bounds.join(exact.select("a", "b", "common"), ["a", "b"], "left")
+            total = F.col("na") + F.col("nb")
+            most, least = F.coalesce("common", "most"), F.coalesce("common", F.lit(0))
+            ends = known.select("a", "b", (1 - most / (total - most)).alias("l"), (1 - least / (total - least)).alias("h"))
+            spans = pairs.join(ends, ["a", "b"]).select("pivot", F.col("b").alias("node"), "l", "h")
+            at = F.col("chosen").isNotNull()
+            rows = rows.join(spans, ["pivot", "node"], "left").join(chosen.toDF("pivot", "chosen").withColumnRenamed("chosen", "node").withColumn("chosen", F.lit(True)), ["pivot", "node"], "left")
+            rows = rows.select("pivot", "node", "n", F.when(at, 0.0).otherwise(F.coalesce("l", "low")).alias("low"), F.when(at, 0.0).otherwise(F.coalesce("h", "high")).alias("high"), "used")
+        rows = compact(written(rows.select(*here, "used"), "rows"))
+    named = rows.join(labels, "node")
+    sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    x = named.join(main, "pivot").where("not used and label <> main")
+    y = named.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("low").alias("lowb"), F.col("high").alias("highb"))
+    reach = (F.col("low") - F.col("highb") <= radius) & (F.col("lowb") - F.col("high") <= radius)
+    pairs = x.join(y, "pivot").where((F.col("label") != F.col("lb")) & reach & _near_sizes(F.col("n"), F.col("nb"), percent))
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.when(F.col("node") < F.col("b"), F.col("n")).otherwise(F.col("nb")).alias("na"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("nb")).otherwise(F.col("n")).alias("nb")).distinct()
+    return links.unionByName(_distances(_by_classes(pairs, nodes, percent), sets).where(_linked(percent)).select("a", "b"))
+
+
+def _by_frequency(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, node, n) of the windows of these nodes in the order of how many of them have a shingle, the rarest first.
+
+    A shingle of one node alone is nobody's pivot, so a node of which the window holds only such shingles drops out.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        flat, sizes = _flat(batch.column("set"))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("node").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["pivot", "node", "n"])
+
+    own = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "set")
+    rows = own.mapInArrow(each_batch(run), "pivot long, node long, n long")
+    shared = rows.groupBy("pivot").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    lists = rows.join(shared, "pivot").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "pivot"))).alias("list"))
+    take = F.size("list") - _left(F.col("n"), percent)  # the window less the shingles that are the node's own
+    return lists.where(take > 0).select(F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("p"), "node", "n").select("p.pivot", "node", "n")
+
+
+def _frequent_behind(nodes: DataFrame, large: Bitmap, percent: int) -> DataFrame:
+    """(pivot) of shingles that many documents with a large region's shingle have behind their windows."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets, sizes = _flat(batch.column("head"))
+        window, _ = _choose(sets, sizes, np.asarray(batch.column("n"), np.int64), None, percent)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        affected = np.bincount(of[window], large.has(sets[window]), len(sizes)) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(sets[~window & affected[of]].view(np.int64))], ["pivot"])
+
+    rows = nodes.select("n", "head").mapInArrow(each_batch(run), "pivot long")
+    return rows.groupBy("pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION).select("pivot")
 
 
 def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -307,7 +382,7 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     large = regions.where(F.size("members") > REGION).select("pivot")
     members = None
     if not large.isEmpty():
-        late = Bitmap.of(large, "pivot")
+        late = Bitmap.of(written(large.unionByName(_frequent_behind(nodes, Bitmap.of(large, "pivot"), percent)), "late"), "pivot")
         deep = _whole_sets(documents, _undecided(nodes, late, percent), k)
         rows = _rows_of(nodes, "head", late, percent).unionByName(_rows_of(deep, "set", late, percent))
         regions = written(_regions(rows), "regions")
@@ -322,7 +397,12 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     whole = _whole_sets(documents, nodes.join(needed.toDF("node").distinct(), "node", "left_semi").select("node", "n", "fp1", "fp2", "first_doc"), k)
     links = written(_distances(pairs, whole).where(_linked(percent)).select("a", "b"), "links")
     if members is not None:
-        links = _pivot_join(members, whole, links, percent)
+        rows = written(_by_frequency(members, whole, percent), "rare")
+        regions = written(_regions(rows), "regions")
+        pairs = written(_by_classes(_direct_pairs(regions, percent), nodes, percent), "pairs")
+        links = links.unionByName(_distances(pairs, whole).where(_linked(percent)).select("a", "b"))
+        members = written(rows.join(regions.where(F.size("members") > REGION).select("pivot"), "pivot", "left_semi"), "members")
+        links = written(links if members.isEmpty() else _pivot_join(members, whole, nodes, links, percent), "links")
     labels = components(links)
     named = nodes.select("node", "fp1", "fp2", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
