@@ -1,58 +1,66 @@
 """Language-model scores by deleted interpolation.
 
 A token's probability after the token before it mixes three maximum-likelihood
-estimates, with weights that depend on how frequent the context is:
+estimates, with weights that depend on how often the context was learned:
 
-    P(w | u) = a(b) * C(class u, class w) / C(class u) * c(w) / C(class w)
+    P(w | u) = a(b) * c(u, w) / c(u)
              + b(b) * c(w) / N
              + c(b) / (V + 1)
 
-``c`` counts tokens, ``N`` all of them, ``V`` the distinct ones; ``b`` is the bucket of
-the context's frequency, by powers of two.  A word as frequent as ``CLASS_SHARE`` of all
-tokens is a class of its own (so there are at most 1 / CLASS_SHARE of those), the rarer
-ones form a class together, and a word seen only in other documents has the third part
-alone.  A text begins after a mark of its own and ends with an end token.
+``c`` counts tokens and pairs of neighbours, ``N`` all tokens, ``V`` the distinct ones; ``b``
+is the bucket of the context's count, by powers of two, and a context never learned has no
+first part.  A text begins after a mark of its own and ends with an end token.
 
 Counts come from all learned documents.  For the weights, one tenth of those is held
-out: its bigrams are counted apart, scored by the counts of the other documents, and
+out: its tokens are scored by the counts of the other documents, and
 expectation-maximisation finds the weights of each bucket that make them likeliest.  The
-held-out counts are gathered over (bucket, level of the bigram estimate, level of the
+held-out tokens are gathered over (bucket, level of the bigram estimate, level of the
 unigram estimate), a table of fixed size, so that EM runs over sums and not over rows.
 
-Size of what is shared: words of at least ``COMMON_SHARE`` of all tokens (no more than
-1 / COMMON_SHARE can be that frequent) are broadcast with their counts, and the table
-over classes has at most (1 / CLASS_SHARE + 2) squared cells.  All other words are joined
-by hash; none of them can hold more than that share of the tokens, so no key is hot.
+How counts meet the texts: documents are written as chunks of about 1 MB, each with its
+distinct words and its tokens as places among them.  A chunk asks once for each distinct
+word and each distinct pair it has, and says how often it has them; what is asked for is
+dealt by ranges of the hash, summed, and answered to each chunk in the order it asked.  So
+however frequent a word, a pair or a context is, it is one entry a chunk, and neither a
+table of words nor one of pairs is held anywhere as a whole.
+
+Size of what is shared: pairs of two frequent words, those of at least ``CLASS_SHARE`` of
+all tokens, aren't asked for but counted in one table of at most (1 / CLASS_SHARE + 2)
+squared cells, which is broadcast.
 
 Defined results: null texts count as empty and have the end token alone; repeated rows
 are scored one by one and counted each time; an id that is null is a row of fold 0, that
 is, never learned from.  With no learned document every token has the third part alone.
-Words are compared by 64-bit hashes.  The input's other columns are left out.
+Words and pairs are compared by 64-bit hashes.  The input's other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, each_batch, fold, table, written
-from ._text import Words, byte_chunks
+from ._shared import bounded_batches, each_batch, fold, partitions, table, written
+from ._text import Words, byte_chunks, mix64
 
-COMMON_SHARE = 2.0**-19
 CLASS_SHARE = 2.0**-10
-BUCKETS = 24
+BUCKETS = 48
 #: Levels of an estimate, two for each halving.
 LEVELS = 64
 EM_STEPS = 60
+#: Learned tokens for each range of hashes, so that a task's memory doesn't grow with the input.
+RANGE_TOKENS = 1 << 19
 _MARK = np.uint64(0x51AFD7ED558CCD01)  # before the first token of a text
 _ENDED = np.uint64(0x2545F4914F6CDD1D)  # the end token
+_PAIR = np.uint64(0x9FB21C651E98DF25)
+_NEW, _KEPT, _HELD = 0, 1, 2  # a chunk's documents: not learned, learned, learned and held out for the weights
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,19 +81,23 @@ class Model:
     """What a scorer needs; ``common`` is sorted by hash."""
 
     common: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray  # class of each common word; the rare class is 0
+    classes: np.ndarray  # class of each frequent word; 0 stands for all others
     cells: np.ndarray  # learned bigrams by class of the context (the mark's is the last) and of the word
     unigrams: np.ndarray  # tokens of each class
     buckets: np.ndarray  # bucket of each class as a context
     weights: np.ndarray  # of the three parts, by bucket
     total: int
     distinct: int
+    learned: tuple | None = None  # the documents, their chunks and the answers to them; stays with the driver
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By classes of context and word: factor of c(w), and the constant part by context."""
+        """By classes of context and word: factor of c(w), and the constant part by context.
+
+        Class 0 isn't one word: its bigrams are in the answers, and its column has the unigram part alone.
+        """
         rows = self.cells.sum(axis=1, keepdims=True)
         given = self.cells / np.maximum(rows, 1) / np.maximum(self.unigrams, 1)[None, :]
+        given[:, 0] = 0
         a, b, c = (self.weights[self.buckets, k][:, None] for k in range(3))
         factor = a * given + b / max(self.total, 1)
         return factor, (c / (self.distinct + 1))[:, 0], rows[:, 0]
@@ -99,6 +111,11 @@ def _lookup(common: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, common[at] == hashes
 
 
+def _bucket(counts: np.ndarray) -> np.ndarray:
+    """Bucket of a context by its count; 0 for one never learned."""
+    return np.where(counts > 0, np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))), BUCKETS - 1), 0).astype(np.int64)
+
+
 def count_words(df: DataFrame) -> DataFrame:
     """Counts of the tokens of rows with ``learn``, by hash; combined for each batch before the shuffle."""
 
@@ -114,30 +131,168 @@ def count_words(df: DataFrame) -> DataFrame:
     return df.mapInArrow(each_batch(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_classes(df: DataFrame, shared, classes: int) -> np.ndarray:
-    """Class bigrams of the learned rows: an array (held out, context, word) summed over all documents.
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of bytes, as few as the largest needs, so that high zeros compress."""
+    width = np.min_scalar_type(int(values.max(initial=0))).itemsize
+    return np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(len(values), width).T.tobytes()
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(np.uint64)
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+_CHUNK = "chunk long, kind int, ids array<long>, sizes binary, n_types int, types binary, tokens binary"
+
+
+def chunked(df: DataFrame) -> DataFrame:
+    """Chunks of documents (doc_id, text, learn, held) of one kind: ids, sizes, distinct words and tokens. To be written, as their names are drawn."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        learn, held = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), bool) for c in ("learn", "held"))
+        kinds = np.where(learn, np.where(held, _HELD, _KEPT), _NEW)
+        for kind in np.unique(kinds).tolist():
+            rows = batch.filter(pa.array(kinds == kind))
+            for row, end, data, offsets in byte_chunks(rows.column("text")):
+                tokens, bounds = _tokens(data, offsets)
+                types, at = np.unique(tokens, return_inverse=True)
+                columns = [
+                    pa.array([uuid.uuid4().int >> 65]),
+                    pa.array([kind], pa.int32()),
+                    pa.array([rows.column("doc_id").slice(row, end - row).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([_pack(np.diff(bounds))], pa.binary()),
+                    pa.array([len(types)], pa.int32()),
+                    pa.array([_pack(_gaps(types))], pa.binary()),
+                    pa.array([_pack(at)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "ids", "sizes", "n_types", "types", "tokens"])
+
+    return df.select("doc_id", "text", "learn", "held").mapInArrow(each_batch(run), _CHUNK)
+
+
+class Chunk:
+    """A row of ``chunked``: what it asks for, and what the answers say of its tokens."""
+
+    def __init__(self, row: dict, common: np.ndarray, kinds: np.ndarray, classes: int) -> None:
+        self.kind, self.ids = row["kind"], row["ids"]
+        self.sizes = _unpack(row["sizes"], len(self.ids)).astype(np.int64)
+        self.types = np.cumsum(_unpack(row["types"], row["n_types"]), dtype=np.uint64)
+        self.tokens = _unpack(row["tokens"], int(self.sizes.sum())).astype(np.int64)
+        self.context = np.empty_like(self.tokens)
+        self.context[1:] = self.tokens[:-1]
+        self.context[np.cumsum(self.sizes) - self.sizes] = len(self.types)  # the mark
+        at, known = _lookup(common, self.types)
+        kind = np.append(np.where(known, kinds[at] if len(kinds) else 0, 0), classes)
+        self.row, self.column = kind[self.context], kind[self.tokens]
+        self.asked = (self.row == 0) | (self.column == 0)  # the others are pairs of the table
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words and pairs to ask for, by hash, and how often they are here."""
+        hashes = np.append(self.types, _MARK)
+        pairs = mix64(hashes[self.context[self.asked]] * _PAIR + self.types[self.tokens[self.asked]])
+        distinct, self._at, n = np.unique(pairs, return_inverse=True, return_counts=True)
+        both = np.concatenate((self.types, distinct))
+        self._order = np.argsort(both, kind="stable")
+        return both[self._order], np.concatenate((np.bincount(self.tokens, minlength=len(self.types)), n))[self._order]
+
+    def counts(self, answers: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: the count of its pair, of its context and of itself. ``answers`` are in the order of ``keys``."""
+        found = np.empty(len(answers), np.int64)
+        found[self._order] = answers
+        words = np.append(found[: len(self.types)], cells[-1].sum())
+        pair = cells[self.row, self.column]
+        pair[self.asked] = found[len(self.types) :][self._at]
+        return pair, words[self.context], words[self.tokens]
+
+
+def _edges(ranges: int) -> np.ndarray:
+    return np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
+
+
+def answered(chunks: DataFrame, shared, classes: int, ranges: int) -> DataFrame:
+    """To each chunk and range of hashes: learned counts of what it asked for, and for held-out chunks those of the held-out ones."""
+
+    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in batch.to_pylist():
+            keys, counts = Chunk(row, *shared.value, classes).keys()
+            at = np.concatenate(([0], np.searchsorted(keys, _edges(ranges)), [len(keys)]))
+            parts = np.flatnonzero(np.diff(at))
+            slices = [slice(at[p], at[p + 1]) for p in parts]
+            columns = [
+                pa.array(parts.astype(np.int32)),
+                pa.array([row["chunk"]] * len(parts), pa.int64()),
+                pa.array([row["kind"]] * len(parts), pa.int32()),
+                pa.array(np.diff(at)[parts].astype(np.int32)),
+                pa.array([_pack(_gaps(keys[x])) for x in slices], pa.binary()),
+                pa.array([_pack(counts[x]) for x in slices], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "kind", "n", "keys", "counts"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task has all that was asked for in its range."""
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "kind", "n")), *([x.as_buffer() for x in batch.column(c)] for c in ("keys", "counts")), strict=True)]
+        if not rows:
+            return
+        keys = np.concatenate([np.cumsum(_unpack(r[4], r[3]), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([_unpack(r[5], r[3]).astype(np.int64) for r in rows])
+        kinds = np.repeat([r[2] for r in rows], [r[3] for r in rows])
+        _, at = np.unique(keys, return_inverse=True)
+        del keys
+        total, held = (np.bincount(at, np.where(which, counts, 0)).astype(np.int64)[at] for which in (kinds != _NEW, kinds == _HELD))
+        ends = np.cumsum([r[3] for r in rows])
+        slices = [slice(end - r[3], end) for r, end in zip(rows, ends, strict=True)]
+        columns = [
+            pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.int32()),
+            pa.array([r[0] for r in rows], pa.int32()),
+            pa.array([r[3] for r in rows], pa.int32()),
+            pa.array([_pack(total[x]) for x in slices], pa.binary()),
+            pa.array([_pack(held[x]) if r[2] == _HELD else None for r, x in zip(rows, slices, strict=True)], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "part", "n", "total", "held"])
+
+    asked = chunks.mapInArrow(each_batch(ask), "part int, chunk long, kind int, n int, keys binary, counts binary")
+    return asked.repartitionById(ranges, F.col("part")).mapInArrow(answer, "chunk long, kind int, part int, n int, total binary, held binary")
+
+
+def _written_clean(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, and the files of the shuffles behind the table go with the write's end: what chunks ask for is larger than the input."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def _with_answers(chunks: DataFrame, answers: DataFrame, *columns: str) -> DataFrame:
+    """Chunks with the answers to them, by ranges of hashes."""
+    counts = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "n", *columns))).alias("answers"))
+    return chunks.join(counts, "chunk")
+
+
+def _answers(row: dict, column: str) -> np.ndarray:
+    return np.concatenate([_unpack(a[column], a["n"]) for a in row["answers"]]).astype(np.int64)
+
+
+def count_classes(chunks: DataFrame, shared, classes: int) -> np.ndarray:
+    """Class bigrams of the learned chunks: an array (held out, context, word) summed over all documents.
 
     Each task sums its documents and reports each context's row once, packed; the driver gets a row for each context.
     """
     width = classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, kinds = shared.value
         sums = np.zeros(2 * width * width, np.int64)
         for batch in batches:
-            cells = [np.zeros(0, np.int64)]
-            learn, held = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), bool) for c in ("learn", "held"))
-            for row, end, data, offsets in byte_chunks(batch.column("text")):
-                tokens, bounds = _tokens(data, offsets)
-                at, known = _lookup(common, tokens)
-                kind = np.where(known, kinds[at] if len(kinds) else 0, 0)
-                context = np.empty_like(kind)
-                context[1:] = kind[:-1]
-                context[bounds[:-1]] = classes
-                sizes = np.diff(bounds)
-                where = np.repeat(held[row:end].astype(np.int64) * width, sizes) + context
-                cells.append((where * width + kind)[np.repeat(learn[row:end], sizes)])
-            sums += np.bincount(np.concatenate(cells), minlength=len(sums))
+            for row in batch.to_pylist():
+                c = Chunk(row, *shared.value, classes)
+                sums += np.bincount(((c.kind == _HELD) * width + c.row) * width + c.column, minlength=len(sums))
         grid = sums.reshape(2 * width, width)
         for k in np.flatnonzero(grid.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(grid[k].tobytes(), 1)], pa.binary())], ["context", "sums"])
@@ -154,7 +309,7 @@ def count_classes(df: DataFrame, shared, classes: int) -> np.ndarray:
 
     kind = "context long, sums binary"
     out = np.zeros((2 * width, width), np.int64)
-    for k, packed in df.mapInArrow(run, kind).repartition("context").mapInArrow(add, kind).collect():
+    for k, packed in chunks.where(F.col("kind") != _NEW).mapInArrow(run, kind).repartition("context").mapInArrow(add, kind).collect():
         out[k] += np.frombuffer(zlib.decompress(packed), np.int64)
     return out.reshape(2, width, width)
 
@@ -182,151 +337,96 @@ def learn(df: DataFrame, words: DataFrame) -> Model:
     """The model of the rows with ``learn``; ``words`` are the counts of their tokens, a written table."""
     spark = df.sparkSession
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, math.ceil(total * COMMON_SHARE))
-    frequent = words.where(F.col("n") >= least).toArrow()  # no more than 1 / COMMON_SHARE rows
+    frequent = words.where(F.col("n") >= max(1, math.ceil(total * CLASS_SHARE))).toArrow()  # no more than 1 / CLASS_SHARE rows
     order = np.argsort(hashes := frequent["word"].to_numpy().astype(np.int64).view(np.uint64))
     common, counts = hashes[order], frequent["n"].to_numpy()[order]
-    own = counts >= max(1, math.ceil(total * CLASS_SHARE))
-    kinds = np.where(own, np.cumsum(own), 0)
-    classes = int(own.sum()) + 1
-    cells = count_classes(df, spark.sparkContext.broadcast((common, kinds)), classes)
+    kinds = np.arange(1, len(common) + 1)
+    classes = len(common) + 1
+    shared = spark.sparkContext.broadcast((common, kinds))
+    chunks = written(chunked(df), "chunks")
+    cells = count_classes(chunks, shared, classes)
+    answers = _written_clean(answered(chunks, shared, classes, _ranges(spark, total)), "answers")
     both = cells.sum(axis=0)
     unigrams = np.bincount(kinds, counts, classes + 1)
     unigrams[0] = total - unigrams[1:].sum()
     unigrams[classes] = 0
-    context = both.sum(axis=1)
-    share = context / max(total, 1)
-    buckets = np.clip(np.floor(-np.log2(np.maximum(share, 2.0 ** -(BUCKETS - 1)))), 0, BUCKETS - 1).astype(np.int64)
-    model = Model(common, counts, kinds, both, unigrams, buckets, np.tile([0.0, 0.9, 0.1], (BUCKETS, 1)), int(total), int(distinct))
-    model.weights = _fit_weights(df, words, model, cells)
+    model = Model(common, kinds, both, unigrams, _bucket(both.sum(axis=1)), np.tile([0.0, 0.9, 0.1], (BUCKETS, 1)), int(total), int(distinct), (df, chunks, answers))
+    model.weights = _fit_weights(chunks, answers, model, cells)
     return model
 
 
-def _fit_weights(df: DataFrame, words: DataFrame, model: Model, cells: np.ndarray) -> np.ndarray:
-    """EM over the held-out documents, whose words are counted again to be taken out of the estimates."""
-    held_words = written(count_words(df.where("held").withColumn("learn", F.col("held"))), "held")
-    kept_cells, held_cells = cells[0], cells[1]
-    kept_total = max(int(kept_cells.sum()), 1)
-    # words of the held-out documents by how often the other documents have them, and by class
-    spark = df.sparkSession
-    classes = spark.createDataFrame([(int(h), int(k)) for h, k in zip(model.common.view(np.int64), model.classes, strict=True) if k], "word long, class int")
-    level = F.when(F.col("rest") > 0, F.greatest(F.lit(1), F.round(2 * F.log2(F.col("rest")) + 1).cast("int"))).otherwise(0)
-    seen = (
-        held_words.join(words.withColumnRenamed("n", "whole"), "word", "left")
-        .join(F.broadcast(classes), "word", "left")  # a row for each class: at most 1 / CLASS_SHARE
-        .withColumn("rest", F.coalesce("whole", F.lit(0)) - F.col("n"))
-        .groupBy(F.coalesce("class", F.lit(0)).alias("class"), level.alias("level"))
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rest")).alias("weighted"))
-        .collect()
-    )  # a class of one word has one level; the rare class has as many as halvings of a count
-    by_class: dict[int, list[tuple[float, float]]] = {}
-    for r in seen:
-        by_class.setdefault(r["class"], []).append((float(r["n"]), float(r["weighted"]) / max(float(r["n"]), 1.0)))
-    kept_class = kept_cells.sum(axis=0)
-    rows = kept_cells.sum(axis=1)
-    p0 = 1 / (model.distinct + 1)
-    gathered: dict[int, dict[tuple[int, int], float]] = {}
-    for u, w in zip(*np.nonzero(held_cells), strict=True):
-        events = float(held_cells[u, w])
-        inside = by_class.get(int(w), [(1.0, 0.0)])
-        mass = sum(n for n, _ in inside)
-        given = kept_cells[u, w] / max(rows[u], 1) / max(kept_class[w], 1)
-        into = gathered.setdefault(int(model.buckets[u]), {})
-        for n, mean in inside:
-            key = tuple(_levels(np.array([given * mean, mean / kept_total])).tolist())
-            into[key] = into.get(key, 0.0) + events * n / mass
+def _ranges(spark: SparkSession, total: int) -> int:
+    return max(partitions(spark), total // RANGE_TOKENS)
+
+
+def _fit_weights(chunks: DataFrame, answers: DataFrame, model: Model, cells: np.ndarray) -> np.ndarray:
+    """EM over the held-out documents, whose own counts are taken out of the estimates."""
+    kept, classes = cells[0], len(cells[0]) - 1
+    kept_total = max(int(kept.sum()), 1)
+    shared = chunks.sparkSession.sparkContext.broadcast((model.common, model.classes, kept))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        common, kinds, grid = shared.value
+        for row in batch.to_pylist():
+            c = Chunk(row, common, kinds, classes)
+            c.keys()
+            pair, context, word = c.counts(_answers(row, "total") - _answers(row, "held"), grid)
+            given, alone = _levels(pair / np.maximum(context, 1)), _levels(word / kept_total)
+            keys, n = np.unique((_bucket(context) * LEVELS + given) * LEVELS + alone, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], ["key", "n"])
+
+    held = _with_answers(chunks.where(F.col("kind") == _HELD), answers.where(F.col("kind") == _HELD), "total", "held")
+    rows = held.mapInArrow(each_batch(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS * LEVELS ** 2
+    keys, n = rows["key"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(float)
     weights = model.weights.copy()
-    done = []
-    for b, sums in gathered.items():
-        keys = np.array(list(sums))
-        weights[b] = _em(_of_level(keys[:, 0]), _of_level(keys[:, 1]), p0, np.array(list(sums.values())))
-        done.append(b)
+    done = np.unique(keys // LEVELS**2).tolist()
+    for b in done:
+        own = keys // LEVELS**2 == b
+        weights[b] = _em(_of_level(keys[own] // LEVELS % LEVELS), _of_level(keys[own] % LEVELS), 1 / (model.distinct + 1), n[own])
     for b in set(range(BUCKETS)) - set(done) if done else ():  # a bucket without held-out events takes its neighbour's
         weights[b] = weights[min(done, key=lambda d: abs(d - b))]
     if not done:
         weights[:] = [0.0, 0.9, 0.1] if model.total else [0.0, 0.0, 1.0]
     weights[:, 2] = np.maximum(weights[:, 2], 1e-6)
+    weights[0, 0] = 0  # nothing follows a context never learned
     return weights / weights.sum(axis=1, keepdims=True)
 
 
 def score(df: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``df`` (doc_id, text): n_tokens, n_known, base_score and score.
+    """Per row of ``df`` (doc_id, text): n_tokens, n_known, base_score and score, all summed where the chunk is.
 
-    Common words are scored where the text is; each other word goes to the table of counts and its
-    contribution comes back.  Rows of equal id and text have equal scores; they meet under one key and part again.
+    The documents that were learned from have their answers already; others ask among the learned chunks.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    source, chunks, answers = model.learned
+    classes = len(model.cells) - 1
+    if df is not source:
+        told = chunks.where(F.col("kind") != _NEW)
+        chunks = written(chunked(df.select("doc_id", "text", F.lit(False).alias("learn"), F.lit(False).alias("held"))), "chunks")
+        shared = spark.sparkContext.broadcast((model.common, model.classes))
+        answers = _written_clean(answered(chunks.unionByName(told), shared, classes, _ranges(spark, model.total)), "answers")
+    model_only = spark.sparkContext.broadcast(replace(model, learned=None))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        factor, constant, _ = m.parts()
-        classes = len(constant) - 1
-        base = np.log10((m.counts + 0.1) / (m.total + 0.1 * (m.distinct + 1))) if len(m.counts) else np.zeros(0)
-        for row, end, data, offsets in byte_chunks(batch.column("text")):
-            tokens, bounds = _tokens(data, offsets)
-            sizes = np.diff(bounds)
-            doc = np.repeat(np.arange(end - row), sizes)
-            at, known = _lookup(m.common, tokens)
-            kind = np.where(known, m.classes[at] if len(m.classes) else 0, 0)
-            context = np.empty_like(kind)
-            context[1:] = kind[:-1]
-            context[bounds[:-1]] = classes
-            k = np.flatnonzero(known)
-            p = factor[context[k], kind[k]] * m.counts[at[k]] + constant[context[k]]
-            ids, ties = (batch.column(c).slice(row, end - row) for c in ("doc_id", "tie"))
-            keys, texts = np.asarray(ids.fill_null(0), np.int64), np.asarray(ties, np.int64)
-            nulls = np.asarray(ids.is_null())
-            rare = np.flatnonzero(~known)
-            # a row for the document, then one for each of its other tokens
-            n_doc, n_rare = end - row, len(rare)
-            whole = np.concatenate((np.arange(n_doc), doc[rare]))
-            zeros = np.zeros(n_rare, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[whole], mask=nulls[whole]),
-                    pa.array(texts[whole]),
-                    pa.array(np.concatenate((texts, tokens[rare].view(np.int64)))),
-                    pa.array(np.concatenate((np.full(n_doc, -1), context[rare])).astype(np.int32)),
-                    pa.array(np.concatenate((sizes, zeros))),
-                    pa.array(np.concatenate((np.bincount(doc[k], minlength=n_doc), zeros))),
-                    pa.array(np.concatenate((np.bincount(doc[k], base[at[k]], n_doc), zeros))),
-                    pa.array(np.concatenate((np.bincount(doc[k], np.log10(p), n_doc), zeros))),
-                ],
-                ["doc_id", "tie", "word", "context", "tokens", "known", "base", "model"],
-            )
-
-    factor, constant, _ = model.parts()
-    contexts = spark.createDataFrame([(k, float(f), float(g)) for k, (f, g) in enumerate(zip(factor[:, 0], constant, strict=True))], "context int, factor double, constant double")
-    rows = df.select("doc_id", "text", F.hash("text").cast("long").alias("tie")).mapInArrow(
-        each_batch(run), "doc_id long, tie long, word long, context int, tokens long, known long, base double, model double"
-    )
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = F.col("context") >= 0  # a document's own row has any word, which counts for nothing
-    bottom = model.total + 0.1 * (model.distinct + 1)
-    joined = (
-        rows.join(words.select("word", F.col("n").alias("c")), "word", "left")
-        .join(F.broadcast(contexts), "context", "left")  # a row for each class: at most 1 / CLASS_SHARE + 2
-        .select(
-            "doc_id",
-            "tie",
-            F.when(rare, 0).otherwise(1).alias("copies"),
-            "tokens",
-            F.when(rare, F.when(c > 0, 1).otherwise(0)).otherwise(F.col("known")).alias("known"),
-            F.when(rare, F.log10((c + 0.1) / F.lit(bottom))).otherwise(F.col("base")).alias("base"),
-            F.when(rare, F.log10(F.col("factor") * c + F.col("constant"))).otherwise(F.col("model")).alias("model"),
-        )
-    )
-    sums = joined.groupBy("doc_id", "tie").agg(*(F.sum(x).alias(x) for x in ("copies", "tokens", "known", "base", "model")))
-    one = sums.select(
-        "doc_id",
-        "copies",
-        F.expr("tokens div copies").alias("n_tokens"),
-        F.expr("known div copies").alias("n_known"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("model") / F.col("copies")).alias("score"),
-    )
-    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "copy")
+        m: Model = model_only.value
+        for row in batch.to_pylist():
+            c = Chunk(row, m.common, m.classes, classes)
+            c.keys()
+            pair, context, word = c.counts(_answers(row, "total"), m.cells)
+            a, b, rest = m.weights[_bucket(context)].T
+            p = a * pair / np.maximum(context, 1) + b * word / max(m.total, 1) + rest / (m.distinct + 1)
+            base = np.log10((word + 0.1) / (m.total + 0.1 * (m.distinct + 1)))
+            starts = np.cumsum(c.sizes) - c.sizes  # each document has a token at least
+            columns = [
+                pa.array(c.ids, pa.int64()),
+                pa.array(c.sizes),
+                pa.array(np.add.reduceat((word > 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(base, starts)),
+                pa.array(np.add.reduceat(np.log10(p), starts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return _with_answers(chunks, answers, "total").mapInArrow(each_batch(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def with_folds(documents: DataFrame) -> DataFrame:
@@ -339,7 +439,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the model of those outside fold 0."""
     bounded_batches(spark, rows=4000, size="16m")
     documents = with_folds(table(spark, sf_dir, "documents"))
-    words = written(count_words(documents), "words")
+    words = _written_clean(count_words(documents), "words")
     model = learn(documents, words)
     return score(documents, words, model).select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"

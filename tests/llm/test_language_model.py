@@ -73,3 +73,35 @@ def test_a_repeated_row_is_scored_each_time(spark):
     words = m.written(m.count_words(documents), "words")
     rows = m.score(documents, words, m.learn(documents, words)).collect()
     assert sorted((r["doc_id"], r["n_tokens"]) for r in rows) == [(3, 2), (3, 4), (3, 4), (4, 4)]
+
+
+def test_bigrams_are_of_words(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    documents = m.with_folds(spark.createDataFrame(docs, "doc_id long, text string"))
+    words = m.written(m.count_words(documents), "words")
+    model = m.learn(documents, words)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    tokens = {i: ["^", *WORD.findall(lower(t)), None] for i, t in docs}
+    c1 = Counter(w for i, ws in tokens.items() if fold(i) for w in ws)
+    c2 = Counter(p for i, ws in tokens.items() if fold(i) for p in zip(ws, ws[1:]))
+    total, distinct = sum(n for w, n in c1.items() if w != "^"), len(c1) - 1
+    got = {r["doc_id"]: r["score"] for r in m.score(documents, words, model).collect()}
+    others = m.score(documents.select("doc_id", "text"), words, model).collect()  # as documents that the model doesn't know
+    assert {r["doc_id"]: round(r["score"], 6) for r in others} == {i: round(s, 6) for i, s in got.items()}
+    for i, ws in tokens.items():
+        expected = 0.0
+        for u, w in zip(ws, ws[1:]):
+            a, b, c = model.weights[c1[u].bit_length()]
+            expected += math.log10(a * c2[u, w] / max(c1[u], 1) + b * c1[w] / total + c / (distinct + 1))
+        assert math.isclose(got[i], expected, rel_tol=1e-9)
+
+
+def test_rare_words_that_go_together_are_likelier_together(spark):
+    pairs = " ".join(f"x{k} y{k}" for k in range(1500))  # each word has 1/3000 of the tokens
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    new = [i for i in range(100, 200) if not zlib.crc32(str(i).encode()) % 10][:2]
+    rows = [*((i, pairs) for i in learned), (new[0], "x7 y7"), (new[1], "x7 y8")]
+    documents = m.with_folds(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = m.written(m.count_words(documents), "words")
+    got = {r["doc_id"]: r["score"] for r in m.score(documents, words, m.learn(documents, words)).collect()}
+    assert got[new[0]] > got[new[1]] + 1
