@@ -86,7 +86,15 @@ def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = g.nations(spark, sf_dir).plain_chunks.where("name like 'S%' and node_type = 'class_definition'")
+    """The chunks of the generated classes, which its SQL covers; ``all_py_chunks`` has all."""
+    return _chunk_rows(g.nations(spark, sf_dir).plain_chunks.where("name like 'S%' and node_type = 'class_definition'"))
+
+
+def all_py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(g.nations(spark, sf_dir).plain_chunks)
+
+
+def _chunk_rows(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "file_path", "full_name", "kind", "start_byte", "end_byte", "start_line", "end_line", "parent_chunk_id", "size_chars", F.array_join("contained_symbols", ",").alias("contained"))
 
 
@@ -142,9 +150,17 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = g.nations(spark, sf_dir)
+    """The references outside the generated functions, which its SQL covers; ``all_resolved_refs`` has all."""
+    return _with_targets(g.nations(spark, sf_dir), "chunk_name not like 'f\\_%'")
+
+
+def all_resolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_targets(g.nations(spark, sf_dir), "true")
+
+
+def _with_targets(r: g.Repository, which: str) -> DataFrame:
     targets = r.plain_chunks.select(F.col("chunk_id").alias("points_to"), F.col("full_name").alias("target"), F.col("file_path").alias("target_path"))
-    named = r.refs.where("chunk_name not like 'f\\_%'").join(targets, "points_to", "left")
+    named = r.refs.where(which).join(targets, "points_to", "left")
     return named.groupBy("file_path", "text", "kind", "status", "target_path").agg(F.count("*").alias("n"), F.count("target").alias("hits"))
 
 
@@ -184,8 +200,8 @@ def four_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        skip_reasons, skip_counts, line_stats, binary_docs, minified_docs, repository_size, url_hosts, valid_refs, stable_ids, reference_parts, import_names, py_chunks, chunk_kinds, skeleton_texts,
-        file_skeletons, import_bindings, wildcard_imports, import_texts, symbol_index, first_symbols, status_counts, resolved_refs, report_totals, sample_resolved, sample_unresolved, suspicious_refs, four_languages,
+        skip_reasons, skip_counts, line_stats, binary_docs, minified_docs, repository_size, url_hosts, valid_refs, stable_ids, reference_parts, import_names, py_chunks, all_py_chunks, chunk_kinds, skeleton_texts,
+        file_skeletons, import_bindings, wildcard_imports, import_texts, symbol_index, first_symbols, status_counts, resolved_refs, all_resolved_refs, report_totals, sample_resolved, sample_unresolved, suspicious_refs, four_languages,
     )
 }
 
