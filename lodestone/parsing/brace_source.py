@@ -1,13 +1,16 @@
 """Front ends for JavaScript, TypeScript and Go: recognisers over tokens and matched brackets.
 
 They find the definitions, references and imports that the data model knows, not a whole
-syntax tree.  Errors they notice are unmatched brackets and unclosed literals.
+syntax tree.  Errors they notice are unmatched brackets, unclosed literals and those in ``syntax``.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from ..errors import ChunkDecodeError
-from .model import Definition, Import, Source
+from .model import Definition, Import, Source, with_comments
+from .syntax import check_go, check_script
 from .tokens import STRING, WORD, Tokens, read
 
 _NOT_CALLED = frozenset(
@@ -17,6 +20,7 @@ _MODIFIERS = frozenset("static async get set public private protected override r
 _BLOCK_WORDS = frozenset("function class interface if for while try switch do enum namespace module declare export async abstract".split())
 _GOES_ON = frozenset("else catch finally".split())
 _OPERATORS = frozenset("= + - * / % & | ^ < > ? : , . ?. => && || ! ~ ( [ { ${ ...".split())
+_NOT_IN_TYPES = frozenset("return let var if else for while switch case throw try".split())
 _GO_WORDS = frozenset("func if for switch select return go defer range case var const type struct interface map chan else import package".split())
 
 
@@ -28,6 +32,16 @@ def _latin(content: bytes) -> str:
     return content.decode("latin-1")
 
 
+def _inside(ranges: list[tuple[int, int]], n: int) -> list[bool]:
+    """For each of n tokens, whether it is strictly inside one of the ranges."""
+    steps = [0] * (n + 2)
+    for first, last in ranges:
+        if last > first:
+            steps[first + 1] += 1
+            steps[last] -= 1
+    return [depth > 0 for depth in accumulate(steps[:n])]
+
+
 class _Braces:
     """What the recognisers share."""
 
@@ -79,8 +93,7 @@ class _Braces:
         self.out.refs.append((1, f"{self.words(begin, self.end(dot - 1))}.{self.name(dot + 1)}", "call", begin, end))
 
     def with_comments(self, ranges: list[tuple[int, int]], begin: int, end: int) -> list[tuple[int, int]]:
-        between = [c for c in self.t.comments if begin <= c[0] < end and not any(s <= c[0] < e for s, e in ranges)]
-        return sorted(ranges + between)
+        return with_comments(ranges, self.t.comments, begin, end)
 
     def block(self, brace: int, split) -> list[tuple[int, int]]:
         """Children of a block: its braces, what ``split`` finds between them, and comments."""
@@ -95,6 +108,7 @@ class _Script(_Braces):
 
     def __init__(self, content: bytes, typed: bool) -> None:
         super().__init__(content, True)
+        check_script(self.t, typed)
         self.typed = typed
         self.scopes: list[tuple[int, int, str]] = []  # ranges that give a name to what they hold
         self.silent: list[tuple[int, int]] = []  # token ranges in which nothing is called
@@ -115,7 +129,7 @@ class _Script(_Braces):
                 depth -= 1
                 if not depth:
                     return j + 1
-            elif sign in (";", ")", "]", "}"):
+            elif sign in (";", ")", "]", "}") or sign in _NOT_IN_TYPES:
                 return i
             j = self.t.after(j)
         return i
@@ -429,13 +443,24 @@ class _Script(_Braces):
                     self.out.refs.append((0, self.name(i + 1), "call", self.start(i + 1), self.end(i + 1)))
             elif token.text == "{" and t.at(i - 1) in ("=", "(", ",", ":", "[", "return", "?", "&&", "||", "default", "..."):
                 self.object_members(i)
+        silent = _inside(self.silent, len(t.items))
         for i in range(len(t.items)):
-            self.call(i)
-        for d in self.out.defs:
-            d.namespace = [name for s, e, name in sorted(self.scopes, key=lambda x: (x[0], -x[1])) if s <= d.start and d.end <= e and (s, e) != (d.start, d.end)]
+            if not silent[i]:
+                self.call(i)
+        self.name_spaces()
         self.out.root = self.with_comments(self.split_statements(0, len(t.items)), 0, len(t.text) + 1)
         return self.out
 
+    def name_spaces(self) -> None:
+        """The names of the scopes around each definition, in one sweep over both."""
+        scopes, around, k = sorted(self.scopes, key=lambda x: (x[0], -x[1])), [], 0
+        for d in sorted(self.out.defs, key=lambda d: d.start):
+            while k < len(scopes) and scopes[k][0] <= d.start:
+                around = [x for x in around if x[1] > scopes[k][0]] + [scopes[k]]
+                k += 1
+            around = [x for x in around if x[1] > d.start]
+            d.namespace = [name for s, e, name in around if d.end <= e and (s, e) != (d.start, d.end)]
+
     def interface(self, i: int) -> None:
         j = i + 2
         while j < len(self.t.items) and self.t.at(j) != "{":
@@ -448,7 +473,7 @@ class _Script(_Braces):
 
     def call(self, i: int) -> None:
         t = self.t
-        if not t.is_word(i) or i in self.members or any(a < i < b for a, b in self.silent):
+        if not t.is_word(i) or i in self.members:
             return
         j = i + 1
         if t.at(j) == "?." and t.at(j + 1) == "(":
@@ -478,6 +503,7 @@ def parse_typescript(content: bytes) -> Source:
 class _Go(_Braces):
     def __init__(self, content: bytes) -> None:
         super().__init__(content, False)
+        check_go(self.t)
 
     def ends(self, j: int) -> bool:
         """Whether the line end before token j ends a statement: Go's rule of the token before it."""
@@ -606,9 +632,9 @@ class _Go(_Braces):
                 self.imports(i)
             elif token.text == "struct" and t.at(i + 1) == "{":
                 self.fields(i + 1)
-        inside = [(t.partner[i + 1], i + 1) for i in range(len(t.items)) if t.at(i) == "interface" and t.at(i + 1) == "{"]
+        inside = _inside([(i + 1, t.partner[i + 1]) for i in range(len(t.items)) if t.at(i) == "interface" and t.at(i + 1) == "{"], len(t.items))
         for i in range(len(t.items) - 1):
-            if t.is_word(i) and t.at(i + 1) == "(" and i not in self.names and t.at(i) not in _GO_WORDS and not any(a < i < b for b, a in inside):
+            if t.is_word(i) and t.at(i + 1) == "(" and i not in self.names and t.at(i) not in _GO_WORDS and not inside[i]:
                 if t.at(i - 1) == ".":
                     self.member_call(i - 1)
                 else:

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 
+def with_comments(ranges: list[tuple[int, int]], comments: list[tuple[int, int]], begin: int, end: int) -> list[tuple[int, int]]:
+    """Ranges in order, with the comments between them that start from ``begin`` to before ``end``; both are in order and disjoint."""
+    starts, out = [s for s, _ in ranges], list(ranges)
+    for at in range(bisect_left(comments, (begin, -1)), len(comments)):
+        c = comments[at]
+        if c[0] >= end:
+            break
+        k = bisect_right(starts, c[0]) - 1
+        if k < 0 or ranges[k][1] <= c[0]:
+            out.append(c)
+    return sorted(out)
+
+
 @dataclass
 class Definition:
     """A captured definition.  Byte range, names and what a skeleton of it is made of."""
@@ -54,8 +68,6 @@ class Source:
 
     def finish(self) -> dict:
         """The row of the file: definitions nested by their ranges, every reference with its innermost definition."""
-        from bisect import bisect_right
-
         breaks = [i + 1 for i, b in enumerate(self.content) if b == 10]
         line = lambda at: bisect_right(breaks, at) + 1
         defs = sorted(self.defs, key=lambda d: (d.start, -d.end))

@@ -8,7 +8,7 @@ import re
 import tokenize
 
 from ..errors import ChunkDecodeError, MalformedSourceError
-from .model import Definition, Import, Source
+from .model import Definition, Import, Source, with_comments
 
 _BREAK = re.compile(rb"\r\n|\r|\n")
 
@@ -47,9 +47,7 @@ def _own_start(node: ast.stmt, places: _Places, content: bytes) -> int:
 def _block(body: list[ast.stmt], begin: int, places: _Places, content: bytes, comments: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges of the statements of a block and of the comments between them."""
     ranges = [(_own_start(s, places, content), places.end(s)) for s in body]
-    stop = ranges[-1][1] if ranges else len(content)
-    between = [c for c in comments if begin <= c[0] < stop and not any(s <= c[0] < e for s, e in ranges)]
-    return sorted(ranges + between)
+    return with_comments(ranges, comments, begin, ranges[-1][1] if ranges else len(content))
 
 
 def parse(content: bytes) -> Source:
@@ -86,17 +84,16 @@ def parse(content: bytes) -> Source:
                     out.refs.append((2, out.text(start, stop), "inheritance", start, stop))
         stack.extend((child, inside) for child in ast.iter_child_nodes(node))
     out.imports.sort(key=lambda i: i.start)  # names of a statement keep their order
-    for number, start in enumerate(sorted({i.start for i in out.imports})):
-        for i in out.imports:
-            if i.start == start:
-                i.stmt = number
+    numbers = {start: number for number, start in enumerate(dict.fromkeys(i.start for i in out.imports))}
+    for i in out.imports:
+        i.stmt = numbers[i.start]
     return out
 
 
 def _define(node, around, out: Source, places: _Places, comments) -> None:
     content, start, stop = out.content, _own_start(node, places, out.content), places.end(node)
     head = max([places.start(node), *(places.end(x) for x in _header(node))])
-    body = _block(node.body, head, places, content, [c for c in comments if c[0] > head and _after_colon(content, head, c[0])])
+    body = _block(node.body, content.index(b":", head) + 1, places, content, comments)  # comments before the colon belong to the head
     classes = [name for name, kind in around if kind == "class"]
     out.defs.append(
         Definition(
@@ -123,10 +120,6 @@ def _header(node) -> list[ast.AST]:
     return parts + [x for x in given if x is not None]
 
 
-def _after_colon(content: bytes, head: int, at: int) -> bool:
-    return b":" in content[head:at]
-
-
 def _call(node: ast.Call, out: Source, places: _Places) -> None:
     target = node.func
     start, stop = places.start(target), places.end(target)

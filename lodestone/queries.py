@@ -28,8 +28,8 @@ def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = v.line_lengths(F.col("content"))
-    return g.document_files(spark, sf_dir).select(
+    lengths = F.col("lengths")
+    return g.document_files(spark, sf_dir).select("doc_id", v.line_lengths(F.col("content")).alias("lengths")).select(
         "doc_id",
         F.size(lengths).cast("long").alias("lines"),
         F.size(F.filter(lengths, lambda x: x > v.LONG_LINE)).cast("long").alias("long_lines"),

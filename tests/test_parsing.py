@@ -112,3 +112,49 @@ def test_offsets_are_bytes_and_lines_start_at_one():
 def test_script_skeletons_print_braces_and_stubs():
     d = definition(parsed("javascript", "class A {\n  x = 1;\n  // c\n  f() { return 1; }\n}"), "A")
     assert [p["sig"] or p["text"] for p in d["body"]] == ["{", "x = 1", ";", "// c", "f()...", "}"]
+
+
+@pytest.mark.parametrize(
+    ("language", "source"),
+    [
+        ("javascript", "foo bar baz(1)"),
+        ("javascript", "let x = ;;; function ( ) y"),
+        ("javascript", "function () { return 1 }"),
+        ("javascript", "a = = b"),
+        ("javascript", "f(a +)"),
+        ("javascript", "const;"),
+        ("javascript", "x = [1 2]"),
+        ("javascript", "a.;"),
+        ("typescript", "let x: string = ;"),
+        ("typescript", "class A { m() { return 1 2 } }"),
+        ("typescript", "type T = A |;"),
+        ("typescript", 'const a = "x" "y"'),
+        ("go", "package p\nfunc f() {\n\tx = = 1\n}\n"),
+        ("go", "package p\nfunc f() {\n\tfoo bar\n}\n"),
+        ("go", "package p\nfunc f() { return 1 + }\n"),
+        ("go", "package p\nfunc f() {\n\tx := := 1\n}\n"),
+        ("go", "package p\nfunc f() { a.) }\n"),
+        ("python", "def f(:\n    pass\n"),
+    ],
+)
+def test_broken_sources(language, source):
+    assert parse_one(language, source.encode())["parse_error"] == MalformedSourceError.__name__
+
+
+@pytest.mark.parametrize(
+    ("language", "source"),
+    [
+        ("javascript", "#!/usr/bin/env node\nfor (const a of b) if (c) d; else e\nlabel: while (1) break label\nx = y => ({ *g() {}, get a() { return 1 }, async b() {} })"),
+        ("javascript", "import a, * as b from 'c' with { type: 'json' }\nexport * as d from 'e'; export { f as default } from 'g'\nclass A { static #p = 1; static { } get [x]() {} 'q'() {} }"),
+        ("javascript", "const r = a / b / c, s = /x y/g.test(d), t = `a ${b} c d`, u = a?.[0]?.b ?? 1; do x++\nwhile (y); if (a) function f() {}"),
+        ("javascript", "const e = <div className='a b'>it is text {x} here</div>"),
+        ("typescript", "abstract class A<in out T> extends B<T> implements C { @Input() declare readonly x?: string; @Dec y!: number; constructor(private a?, public b = 1) { super() } }"),
+        ("typescript", "declare module 'm' { export type T = | A | B; function f(this: X, a?): asserts a is string; const z: unique symbol }\nlet v = <const T,>(x: T) => x as const; type M = { -readonly [K in keyof T]-?: T[K] }"),
+        ("typescript", "export default abstract class {}\nenum E { A = 1, B }\nnamespace N.M { export import a = b.c }\nlet w = x satisfies Y; type F = typeof import('x'); let y = <T>z;"),
+        ("go", "package p\nimport (\n\tx \"a/b\"\n\t. \"c\"\n)\ntype S[T any] struct {\n\ta, b int\n\t*E `json:\"x\"`\n}\ntype I interface {\n\tM(a int, b ...string) (c chan<- int, err error)\n\t~int | ~string\n}\n"),
+        ("go", "package p\nfunc (s *S[T]) f(a, b int, c ...T) (n int, err error) {\n\tvar x, y int = 1, 2\n\tconst z = iota\nL:\n\tfor i := range a[1:] {\n\t\tif x := -y; x <= 1 && !(z != 2) { continue L }\n\t\tch <- *p\n\t\tv, ok := <-ch\n\t\tg(c...)\n\t}\n\tswitch t := a.(type) {\n\tcase int, string:\n\tdefault:\n\t}\n\treturn func(q int) int { return q << 1 &^ 2 }(1), nil\n}\n"),
+        ("go", "package p\nvar m = map[string][]T{\n\t\"a\": {1, 2},\n\tb: {},\n}\nfunc g[K comparable, V any](x map[K]V) {\n\tdefer func() { recover() }()\n\tgo h(x)\n\tselect {\n\tcase c <- 1:\n\t}\n\tx[k], y = 1, struct{ a int }{2}\n}\n"),
+    ],
+)
+def test_valid_sources(language, source):
+    assert parse_one(language, source.encode())["parse_error"] is None
