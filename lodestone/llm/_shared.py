@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset and all runs on this machine, one of our own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{(own := tempfile.mkdtemp(prefix='lodestone-'))}"
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -28,12 +30,56 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, new_path(df.sparkSession, name))
+
+
+#: Documents for which a table of a row or a few each gets a file.
+FILE_DOCUMENTS = 50_000
+
+
+class Scratch:
+    """Written tables and broadcasts of one computation, removed when it ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.broadcasts, self.files = spark, [], [], partitions(spark)
+
+    def sized_for(self, documents: int) -> None:
+        """Tables written with ``few`` get files in proportion to the documents, as many as shuffle partitions at most."""
+        self.files = max(1, min(partitions(self.spark), -(-documents // FILE_DOCUMENTS)))
+
+    def few(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``written``, of rows that take little to make: in few tasks, and few files."""
+        return self.written(df.coalesce(self.files), name)
+
+    def gathered(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``written``, of rows that take long to make: in as many tasks as ever, but few files."""
+        return self.written(df.repartition(self.files), name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        return _write(df, self.paths[-1])
+
+    def broadcast(self, value: object):  # noqa: ANN201
+        self.broadcasts.append(self.spark.sparkContext.broadcast(value))
+        return self.broadcasts[-1]
+
+    def __exit__(self, *_: object) -> None:
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+        for shared in self.broadcasts:
+            shared.destroy()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
@@ -42,11 +88,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
-def compact(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A written table in as few partitions as its rows ask for: small ones in a single one, where joins and sums need no shuffle."""
-    return df.coalesce(1) if df.limit(most + 1).count() <= most else df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

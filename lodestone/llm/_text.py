@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -119,6 +119,11 @@ class Words:
         self.low = low
         self.hashes = slice_hashes(_BYTE_VALUE[low], self.starts, self.ends)
 
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        """The lower-cased bytes of some words."""
+        raw = self.low.tobytes()
+        return [raw[s:e] for s, e in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)] if len(which) else []
+
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import compact, written
+from ._shared import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,16 +21,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a, b): the component is its least node.
 
-    Every round is a written table; aggregates come before joins, so that a hub's edges never meet in one task
-    unsummed.  Rounds grow with the logarithm of the longest chain.
+    Every round is a written table of ``scratch``; aggregates come before joins, so that a hub's edges never meet in one
+    task unsummed.  Rounds grow with the logarithm of the longest chain.
     """
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    current, before = compact(written(current, "edges")), None
+    current, before = scratch.few(current, "edges"), None
     while True:
-        current = compact(written(_small_star(_large_star(current)), "edges"))
+        current = scratch.few(_small_star(_large_star(current)), "edges")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

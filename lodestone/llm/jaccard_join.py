@@ -3,40 +3,46 @@
 Documents are sets of word shingles; two are linked if their Jaccard similarity is
 ``PERCENT`` or more, that is, if their distance 1 - J is within a radius e.
 
-Pivots and regions.  The first pivots are the one-shingle sets.  A document x lies at
-distance 1 - 1/|x| from the pivots of its own shingles and at distance 1 from all others, so
-its nearest pivots are its own shingles and an order of shingles settles the ties: the first
-one gives its Voronoi region.  A document within e of x shares at least PERCENT of x's
-shingles, hence its region can only be among the first |x| - ceil(PERCENT |x|) + 1 shingles
-of x: the window to which x is replicated.  Linked documents therefore share a region.
-
-Small regions (up to ``REGION`` documents) join directly.  A pair is kept only if its sizes
-and the number of regions that it shares leave room for the similarity, and if the
-shingle counts by hash class, whose L1 distance never exceeds the sets' distance, do too.
-What is left is compared set by set.
-
-Large regions recur.  Their shingles move to the end of the order, and with them those that are
-frequent behind the windows of the same documents, which deals the documents anew over rarer
-pivots.  What is in a region that is still large is dealt once more, by whole sets, the shingles
-that the fewest of these documents have coming first.  What is large even then consists of
-documents that have nearly all in common with many others.  There documents themselves are pivots: all members are compared with the smallest one, and by the
-triangle inequality a member at distance d from it can only have partners at distance d - e to
-d + e.  (Where the class counts rule a link out, their bound serves as the distance, and the sets
-aren't compared.)  Later pivots are taken outside of the region's main group and compared with the
-members of other groups in their window.  What is outside after ``PIVOTS`` pivots is compared one by one.
+Pivots and regions.  The pivots are the one-shingle sets.  A document x lies at distance
+1 - 1/|x| from the pivots of its own shingles and at distance 1 from all others, so its nearest
+pivots are its own shingles and an order of shingles settles the ties: the first one gives its
+Voronoi region.  A document within e of x shares at least PERCENT of x's shingles, hence its
+region can only be among the first |x| - ceil(PERCENT |x|) + 1 shingles of x: the window to which
+x is replicated.  Linked documents therefore share a region, in any order of the shingles that is
+the same for all of them.
+
+The order puts shingles that more than ``REGION`` documents have in their windows, or right behind
+them, last; among the others and among those the hash decides.  Regions of up to ``REGION``
+documents join directly: a pair is a candidate if its sizes and the number of regions that it
+shares leave room for the similarity.  Candidates are compared set by set, first each document
+with the neighbour that has the most candidates, then those whose ends are in different groups.
+
+Larger regions recur: their documents are dealt anew among themselves, over an order by how
+many of them have a shingle, the rarest first, and a shingle of one of them alone is nobody's
+pivot.  What still meets in a region has most in common.  There documents are pivots: the centre
+is the member that has the fewest shingles rarer than the region's own, and the others are compared
+with it and join its group.  With whatever has the region's shingle as the first in common, a member of n
+shingles, r of them rarer, shares n - r at most; by that bound on the distance, members too far off leave
+the region and pairs too far apart are not compared.  A region whose members are one group is done.
+Further centres, from outside of the region's main group, follow in rounds, more in each, so that
+the rounds grow with the logarithm of a region's groups; each is compared with members of other groups only.
 
 Groups are found, not all pairs: a link is looked for until its ends are in one group.
 
+Nothing is held of a text but its set's fingerprint; sets are made again out of the texts in each
+pass, which takes less than to write and shuffle them.
+
 Defined results: words are runs of other than white space, A-Z lower-cased; a document of
 fewer words than a shingle has its whole sequence as the one shingle; without words (null,
 empty, blank) it has no shingles, is linked with nothing and is a group of its own.  Equal sets
 are one node, so copies cost nothing.  Repeated rows stay one by one; a null doc_id is never a
-group's id unless the group has no other.
+group's id unless the group has no other.  Columns other than doc_id and text are left out by ``groups``
+and kept, whatever their names, by ``one_of_each``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +50,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Bitmap, binary_slices, bounded_batches, compact, each_batch, table, written
+from ._shared import Bitmap, Scratch, binary_slices, bounded_batches, each_batch, table, written
 from ._text import Words, byte_chunks, mix64, ragged
 from .components import components
 
 #: Members up to which a region joins directly.
 REGION = 64
-#: Document pivots of a large region before what is still outside of its main group is compared one by one.
-PIVOTS = 4
-CLASSES = 64
-_NODES = "node long, n long, fp1 long, fp2 long"
-
+#: Centres of a large region in the second round; the first has one, each later one four times as many.
+CENTRES = 32
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct shingle hashes of each text, one after the other, and the size of each set."""
@@ -96,30 +99,47 @@ def _window(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sets_table(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, the set's fingerprint, its first shingles (twice its window) and its counts by hash class."""
+def _keys(fp1: np.ndarray, fp2: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A set's node: half of its fingerprint, or both halves mixed where sets share the first half (``shared``)."""
+    return np.where(np.isin(fp1, shared), fp1 ^ fp2, fp1) if len(shared) else fp1
+
+
+def _prints(documents: DataFrame, k: int) -> DataFrame:
+    """doc_id, the size of its set and the set's fingerprint."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row, end, data, offsets in byte_chunks(batch.column("text")):
             sets, sizes = shingle_sets(data, offsets, k)
-            fp1, fp2 = _fingerprints(sets, sizes)
-            doc = np.repeat(np.arange(end - row), sizes)
-            counts = np.bincount(doc * CLASSES + (sets >> np.uint64(58)).astype(np.int64), minlength=(end - row) * CLASSES)
-            heads = np.minimum(np.where(sizes > 0, 2 * _window(sizes, percent), 0), sizes)
-            head = sets[ragged(np.cumsum(sizes) - sizes, heads)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(row, end - row),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(fp1),
-                    pa.array(fp2),
-                    binary_slices(head.view(np.uint8), heads * 8).cast(pa.binary()),
-                    binary_slices(np.minimum(counts, 65535).astype("<u2").view(np.uint8), np.full(end - row, 2 * CLASSES)).cast(pa.binary()),
-                ],
-                ["doc_id", "n", "fp1", "fp2", "head", "classes"],
-            )
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each_batch(run), "doc_id long, n long, fp1 long, fp2 long, head binary, classes binary")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(sizes, pa.int64()), *map(pa.array, _fingerprints(sets, sizes))], ["doc_id", "n", "fp1", "fp2"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each_batch(run), "doc_id long, n long, fp1 long, fp2 long")
+
+
+class _Sets:
+    """The sets of some documents, made out of their texts in every pass.
+
+    Which texts are read is told by a bitmap of their ids, of fixed size: what it lets through needlessly are
+    documents whose set is a node all the same, so that a node may come twice.
+    """
+
+    def __init__(self, documents: DataFrame, first_docs: DataFrame, k: int, shared: np.ndarray, scratch: Scratch) -> None:
+        self.texts = documents.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
+        self.wanted = scratch.broadcast(Bitmap.of(scratch.few(first_docs.select(F.xxhash64("first_doc").alias("h")), "wanted"), "h"))
+        self.k, self.shared = k, shared
+
+    def through(self, f: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+        """What ``f`` makes of (sets one after the other, their sizes, their nodes), chunk by chunk."""
+        wanted, k, shared = self.wanted, self.k, self.shared
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            some = batch.filter(pa.array(wanted.value.has(np.asarray(batch.column("h"), np.int64))))
+            for _, _, data, offsets in byte_chunks(some.column("text")) if some.num_rows else ():
+                sets, sizes = shingle_sets(data, offsets, k)
+                nodes, one = np.unique(_keys(*_fingerprints(sets, sizes), shared), return_index=True)  # copies in a chunk go once
+                nodes, one = nodes[sizes[one] > 0], one[sizes[one] > 0]
+                yield f(sets[ragged((np.cumsum(sizes) - sizes)[one], sizes[one])], sizes[one], nodes)
+
+        return self.texts.mapInArrow(each_batch(run), schema)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,237 +151,196 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.uint64), np.diff(offsets) // 8
 
 
-def _choose(sets: np.ndarray, sizes: np.ndarray, n: np.ndarray, late: Bitmap | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which shingles are a document's window in the order (late or not, hash); whether what is given of the set is enough to tell."""
-    window = _window(n, percent)
-    begin = np.cumsum(sizes) - sizes
-    behind = late.has(sets) if late else np.zeros(len(sets), bool)
-    early = np.cumsum(~behind)
-    early0 = np.concatenate(([0], early))[begin]
-    rank = np.arange(len(sets)) - np.repeat(begin, sizes)
-    early_rank = early - np.repeat(early0, sizes)
-    have = np.concatenate(([0], early))[begin + sizes] - early0
-    enough = (have >= window) | (sizes == n)
-    take = np.where(behind, rank - early_rank + 1 <= np.repeat(window - have, sizes), early_rank <= np.repeat(window, sizes))
-    return take & np.repeat(enough, sizes), enough
+_ROWS = "pivot long, node long, n long, rank long"
 
 
-def _rows_of(nodes: DataFrame, column: str, late: Bitmap | None, percent: int, only: Bitmap | None = None) -> DataFrame:
-    """(pivot, node, n) of every document's window; with ``only`` just the rows of pivots that may be in it."""
+def _window_rows(sets: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, levels: list[Bitmap], percent: int, only: Bitmap | None = None) -> pa.RecordBatch:
+    """A row for each shingle of each set's window, in the order (how many of ``levels`` have it, hash), with its rank in
+    the set; with ``only`` just the rows of pivots that may be in it."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    take = rank < np.repeat(_window(sizes, percent), sizes)
+    if levels:
+        late = np.zeros(len(sets), np.int64)
+        for level in levels:
+            late += level.has(sets)
+        order = np.argsort(doc * (len(levels) + 1) + late, kind="stable")
+        sets, doc = sets[order], doc[order]
+    if only is not None:
+        take &= only.has(sets)
+    of = doc[take]
+    return pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of].astype(np.int64)), pa.array(rank[take].astype(np.int64))], ["pivot", "node", "n", "rank"])
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets, sizes = _flat(batch.column(column))
-        node, n = (np.asarray(batch.column(c), np.int64) for c in ("node", "n"))
-        take, _ = _choose(sets, sizes, n, late, percent)
-        if only is not None:
-            take &= only.has(sets)
-        of = np.repeat(np.arange(len(node)), sizes)[take]
-        yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(node[of]), pa.array(n[of])], ["pivot", "node", "n"])
 
-    return nodes.select("node", "n", column).mapInArrow(each_batch(run), "pivot long, node long, n long")
+def _counted(values: np.ndarray) -> pa.RecordBatch:
+    found, counts = np.unique(values, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["pivot", "nodes"])
 
 
-def _undecided(nodes: DataFrame, late: Bitmap, percent: int) -> DataFrame:
-    """Nodes whose first shingles aren't enough to tell their window in the new order."""
+def _frequent(sets: _Sets, percent: int) -> DataFrame:
+    """(pivot) of shingles that more than REGION documents have among the first ones, up to half a window behind it."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets, sizes = _flat(batch.column("head"))
-        _, enough = _choose(sets, sizes, np.asarray(batch.column("n"), np.int64), late, percent)
-        yield batch.select(["node", "n", "fp1", "fp2", "first_doc"]).filter(pa.array(~enough))
-
-    return nodes.select("node", "n", "fp1", "fp2", "first_doc", "head").mapInArrow(each_batch(run), f"{_NODES}, first_doc long")
+    def run(flat: np.ndarray, sizes: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return _counted(flat[rank < np.repeat(3 * _window(sizes, percent) // 2, sizes)])
 
-
-def _whole_sets(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, set) of these nodes, out of the texts of their first documents; a written table.
-
-    Which texts are read again is told by a bitmap of fixed size; what it lets through needlessly is dropped by the join.
-    """
-    nodes = written(nodes, "wanted")
-    wanted = Bitmap.of(nodes.select(F.xxhash64("first_doc").alias("h")), "h")
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        some = batch.filter(pa.array(shared.value.has(np.asarray(batch.column("h"), np.int64))))
-        for _, _, data, offsets in byte_chunks(some.column("text")) if some.num_rows else ():
-            sets, sizes = shingle_sets(data, offsets, k)
-            fp1, fp2 = _fingerprints(sets, sizes)
-            _, one = np.unique(np.stack([fp1, fp2]), axis=1, return_index=True)  # copies in a batch go once
-            begin = np.cumsum(sizes) - sizes
-            flat = sets[ragged(begin[one], sizes[one])]
-            yield pa.RecordBatch.from_arrays([pa.array(fp1[one]), pa.array(fp2[one]), binary_slices(flat.view(np.uint8), sizes[one] * 8).cast(pa.binary())], ["fp1", "fp2", "set"])
-
-    texts = documents.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInArrow(each_batch(run), "fp1 long, fp2 long, set binary")
-    found = texts.join(nodes.select("node", "n", "fp1", "fp2"), ["fp1", "fp2"]).groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"))
-    return written(found, "sets")
+    return sets.through(run, "pivot long, nodes long").groupBy("pivot").agg(F.sum("nodes").alias("nodes")).where(F.col("nodes") > REGION).select("pivot")
 
 
 def _regions(rows: DataFrame) -> DataFrame:
-    """(pivot, members) of regions of two documents or more; no more than REGION + 1 members are gathered."""
+    """(pivot, members, large) of regions of two rows or more; no more than REGION + 1 are gathered, and ``large`` tells that there are."""
     rank = F.row_number().over(Window.partitionBy("pivot").orderBy("node"))
-    few = rows.withColumn("rank", rank).where(F.col("rank") <= REGION + 1)
-    return few.groupBy("pivot").agg(F.collect_list(F.struct("node", "n")).alias("members")).where(F.size("members") > 1)
+    few = rows.select("pivot", "node", "n").withColumn("place", rank).where(F.col("place") <= REGION + 1)
+    gathered = few.groupBy("pivot").agg(F.collect_set(F.struct("node", "n")).alias("members"), F.max("place").alias("most"))
+    return gathered.where(F.size("members") > 1).select("pivot", "members", (F.col("most") > REGION).alias("large"))
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _left(n: Column, percent: int) -> Column:
-    """Shingles behind a document's window."""
-    return F.ceil(n * percent / F.lit(100.0)) - 1
-
-
-def _room(n: Column, percent: int) -> Column:
-    """Shingles that two sets of so many shingles together must share."""
-    return F.ceil(n * percent / F.lit(100.0 + percent) - 1e-9)
+def _room(na: Column, nb: Column, common: Column, percent: int) -> Column:
+    """Whether ``common`` shingles are enough for a link of two sets of na and nb."""
+    return common * (100 + percent) >= (na + nb) * percent
 
 
 def _direct_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """Pairs of small regions that share enough of them: (a, na, b, nb)."""
-    one = regions.where(F.size("members") <= REGION).select(F.explode("members").alias("x"), "members")
+    """Pairs of small regions that share enough of them: (a, na, b, nb), a < b.
+
+    Beyond those in both windows, they can share no more than what is behind the window that ends first.
+    """
+    one = regions.where("not large").select(F.explode("members").alias("x"), "members")
     near = F.filter("members", lambda m: (m["node"] > F.col("x.node")) & _near_sizes(m["n"], F.col("x.n"), percent))
     pairs = one.select("x", F.explode(near).alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
     shared = pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
-    na, nb = F.col("na"), F.col("nb")
-    return shared.where(F.col("shared") + F.greatest(_left(na, percent), _left(nb, percent)) >= _room(na + nb, percent)).drop("shared")
+    behind = F.expr(f"({percent} * greatest(na, nb) + 99) div 100 - 1")
+    return shared.where(_room(F.col("na"), F.col("nb"), F.col("shared") + behind, percent)).drop("shared")
 
 
-def _with_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds ``most``, which the shingles in common can't exceed: the L1 distance of the counts by hash class is no more than the sets'."""
-    extra = [c for c in pairs.columns if c not in ("a", "na", "b", "nb")]
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of those pairs (a, na, b, nb) whose sets are similar enough."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("ca", "cb"))
-        n = np.asarray(batch.column("na"), np.int64) + np.asarray(batch.column("nb"), np.int64)
-        kept = batch.select(["a", "na", "b", "nb", *extra])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((n - np.abs(a - b).sum(axis=1)) // 2)], [*kept.schema.names, "most"])
+        keep, last, x = [], None, np.zeros(0, np.uint64)
+        for a, sa, sb in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
+            if a != last:
+                last, x = a, np.frombuffer(sa.as_buffer(), np.uint64)
+            y = np.frombuffer(sb.as_buffer(), np.uint64)
+            small, great = (x, y) if len(x) < len(y) else (y, x)
+            at = great.searchsorted(small)
+            at[at == len(great)] = 0
+            common = int((great[at] == small).sum())
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    slim, kinds = nodes.select("node", "classes"), dict(pairs.dtypes)
-    both = pairs.join(slim.toDF("a", "ca"), "a").join(slim.toDF("b", "cb"), "b").select("a", "na", "b", "nb", *extra, "ca", "cb")
-    return both.mapInArrow(each_batch(run), ", ".join(f"{c} {kinds[c]}" for c in ("a", "na", "b", "nb", *extra)) + ", most long")
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return both.mapInArrow(each_batch(run), "a long, b long")
 
 
-def _by_classes(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the counts by hash class leave room for a link."""
-    return _with_bound(pairs, nodes).where(_linked(percent, "most")).drop("most")
+def _whole_sets(sets: _Sets, nodes: DataFrame) -> DataFrame:
+    """(node, set) of these nodes."""
 
+    def run(flat: np.ndarray, sizes: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), binary_slices(flat.view(np.uint8), sizes * 8).cast(pa.binary())], ["node", "set"])
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``common``, the number of shingles that the sets of a and b share."""
-    extra = [c for c in pairs.columns if c not in ("a", "b")]
+    return sets.through(run, "node long, set binary").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-        kept = batch.select(["a", "b", *extra])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64())], ["a", "b", *extra, "common"])
 
-    slim = sets.select("node", "set")
-    both = pairs.join(slim.toDF("a", "sa"), "a").join(slim.toDF("b", "sb"), "b").select("a", "b", *extra, "sa", "sb")
-    kinds = dict(pairs.dtypes)
-    return both.mapInArrow(each_batch(run), ", ".join(f"{c} {kinds[c]}" for c in ("a", "b", *extra)) + ", common long")
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different groups."""
+    named = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    return named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(pairs.columns)
 
 
-def _linked(percent: int, common: str = "common") -> Column:
-    return F.col(common) * 100 >= (F.col("na") + F.col("nb") - F.col(common)) * percent
+def _candidate_links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links that connect what all links among these candidates would: of each document with its neighbour of most
+    candidates first, then of those whose ends are still in different groups."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+    degree = scratch.few(ends.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    ranked = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    up = F.struct("db", "b") > F.struct("da", "a")
+    climb = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.struct(F.col("db").alias("d"), F.col("b").alias("hub"))).otherwise(F.struct(F.col("da").alias("d"), F.col("a").alias("hub"))).alias("up"))
+    first = climb.groupBy("low").agg(F.max("up.hub").alias("any"), F.max("up").alias("up")).select(F.least("low", "up.hub").alias("a"), F.greatest("low", "up.hub").alias("b"))
+    first = scratch.few(first, "first")
+    links = scratch.gathered(_links(first, sets, percent), "links")
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    rest = scratch.few(_between(rest, components(links, scratch)), "rest")
+    return scratch.gathered(links.unionAll(_links(rest, sets, percent)), "links")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after links have joined labels to groups."""
-    between = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    groups_ = components(between).toDF("label", "group")
-    return compact(written(labels.join(groups_, "label", "left").select("node", F.coalesce("group", "label").alias("label")), "labels"))
+def _recur(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(pivot, node, n, rank) of these sets, dealt among themselves over the rarest shingles first, by powers of two."""
 
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield _counted(_flat(batch.column("set"))[0])
 
-def _pivot_join(members: DataFrame, sets: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what the large regions hold, by document pivots; ``links`` are those known already.
-
-    A region's first pivot is its smallest set, as what the members have in common is most of it; the distances to it, or
-    their bounds, give every member its window.  Each later pivot is the smallest set outside of the region's main group.  It
-    is compared with all members of other groups that its window reaches, and is done.
-    """
-    radius = 1 - percent / 100 + 1e-9
-    own = members.select("node").distinct()
-    nodes = compact(written(nodes.join(own, "node", "left_semi").select("node", "classes"), "classes"))
-    sets = compact(written(sets.join(own, "node", "left_semi"), "sets"), 20_000)
-    labels = compact(written(own.withColumn("label", F.col("node")), "labels"))
-    labels = _merged(labels, links)
-    rows = compact(written(members.select("pivot", "node", "n", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("used")), "rows"))
-    here = [F.col(c) for c in ("pivot", "node", "n", "low", "high")]
-    for turn in range(PIVOTS):
-        named = rows.join(labels, "node")
-        sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        named = compact(written(named.join(main, "pivot"), "named"))
-        if named.isEmpty():
-            return links
-        outside = named if turn == 0 else named.where("not used and label <> main")
-        pivots = outside.groupBy("pivot").agg(F.min(F.struct("n", "node", "label", "low", "high")).alias("c"))
-        pairs = named.join(pivots, "pivot").where("node <> c.node")
-        if turn:
-            reach = (F.col("low") - F.col("c.high") <= radius) & (F.col("c.low") - F.col("high") <= radius)
-            pairs = pairs.where(reach & (F.col("label") != F.col("c.label")) & _near_sizes(F.col("n"), F.col("c.n"), percent))
-        pairs = pairs.select("pivot", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        pairs = compact(written(pairs, "pairs"))
-        bounds = compact(written(_with_bound(pairs.drop("pivot").distinct(), nodes), "bounds"))
-        exact = compact(written(_distances(bounds.where(_linked(percent, "most")), sets), "exact"))
-        found = exact.where(_linked(percent)).select("a", "b")
-        links = links.unionByName(found)
-        labels = _merged(labels, found)
-        chosen = pivots.select("pivot", F.col("c.node").alias("chosen"))
-        rows = rows.join(chosen, "pivot", "left").withColumn("used", F.col("used") | F.coalesce(F.col("node") == F.col("chosen"), F.lit(False))).drop("chosen")
-        if turn == 0:
-            known = bounds.join(exact.select("a", "b", "common"), ["a", "b"], "left")
-            total = F.col("na") + F.col("nb")
-            most, least = F.coalesce("common", "most"), F.coalesce("common", F.lit(0))
-            ends = known.select("a", "b", (1 - most / (total - most)).alias("l"), (1 - least / (total - least)).alias("h"))
-            spans = pairs.join(ends, ["a", "b"]).select("pivot", F.col("b").alias("node"), "l", "h")
-            at = F.col("chosen").isNotNull()
-            rows = rows.join(spans, ["pivot", "node"], "left").join(chosen.toDF("pivot", "chosen").withColumnRenamed("chosen", "node").withColumn("chosen", F.lit(True)), ["pivot", "node"], "left")
-            rows = rows.select("pivot", "node", "n", F.when(at, 0.0).otherwise(F.coalesce("l", "low")).alias("low"), F.when(at, 0.0).otherwise(F.coalesce("h", "high")).alias("high"), "used")
-        rows = compact(written(rows.select(*here, "used"), "rows"))
-    named = rows.join(labels, "node")
-    sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    x = named.join(main, "pivot").where("not used and label <> main")
-    y = named.select("pivot", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("low").alias("lowb"), F.col("high").alias("highb"))
-    reach = (F.col("low") - F.col("highb") <= radius) & (F.col("lowb") - F.col("high") <= radius)
-    pairs = x.join(y, "pivot").where((F.col("label") != F.col("lb")) & reach & _near_sizes(F.col("n"), F.col("nb"), percent))
-    pairs = pairs.select(F.least("node", "b").alias("a"), F.when(F.col("node") < F.col("b"), F.col("n")).otherwise(F.col("nb")).alias("na"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("nb")).otherwise(F.col("n")).alias("nb")).distinct()
-    return links.unionByName(_distances(_by_classes(pairs, nodes, percent), sets).where(_linked(percent)).select("a", "b"))
-
-
-def _by_frequency(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, node, n) of the windows of these nodes in the order of how many of them have a shingle, the rarest first.
-
-    A shingle of one node alone is nobody's pivot, so a node of which the window holds only such shingles drops out.
-    """
+    counts = sets.mapInArrow(each_batch(count), "pivot long, nodes long").groupBy("pivot").agg(F.sum("nodes").alias("nodes")).where("nodes > 1")
+    counts = scratch.gathered(counts, "counts")
+    most = counts.agg(F.max("nodes")).first()[0] or 2
+    levels = scratch.broadcast([Bitmap.of(counts.where(F.col("nodes") >= 1 << j), "pivot") for j in range(1, most.bit_length())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         flat, sizes = _flat(batch.column("set"))
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("node").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["pivot", "node", "n"])
-
-    own = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "set")
-    rows = own.mapInArrow(each_batch(run), "pivot long, node long, n long")
-    shared = rows.groupBy("pivot").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    lists = rows.join(shared, "pivot").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("nodes", "pivot"))).alias("list"))
-    take = F.size("list") - _left(F.col("n"), percent)  # the window less the shingles that are the node's own
-    return lists.where(take > 0).select(F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("p"), "node", "n").select("p.pivot", "node", "n")
-
-
-def _frequent_behind(nodes: DataFrame, large: Bitmap, percent: int) -> DataFrame:
-    """(pivot) of shingles that many documents with a large region's shingle have behind their windows."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets, sizes = _flat(batch.column("head"))
-        window, _ = _choose(sets, sizes, np.asarray(batch.column("n"), np.int64), None, percent)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        affected = np.bincount(of[window], large.has(sets[window]), len(sizes)) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(sets[~window & affected[of]].view(np.int64))], ["pivot"])
-
-    rows = nodes.select("n", "head").mapInArrow(each_batch(run), "pivot long")
-    return rows.groupBy("pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION).select("pivot")
+        yield _window_rows(flat, sizes, np.asarray(batch.column("node"), np.int64), levels.value, percent, levels.value[0])
+
+    return scratch.written(sets.mapInArrow(each_batch(run), _ROWS), "rows")
+
+
+def _centre_rounds(rows: DataFrame, sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) by ``links`` and by those among the members of a region."""
+    near = _near_sizes(F.col("x.n"), F.col("y.n"), percent)
+    left = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))
+    feasible = (F.col("x.label") != F.col("y.label")) & near & _room(F.col("x.n"), F.col("y.n"), left, percent)
+    partner = F.expr(f"greatest(least, ({percent} * n + 99) div 100)")
+    labels, centres = components(links, scratch), 1
+    while True:
+        least = rows.groupBy("pivot").agg(F.min("n").alias("least"))
+        near_enough = rows.join(least, "pivot").where(_room(F.col("n"), partner, F.col("n") - F.col("rank"), percent)).drop("least")
+        named = near_enough.join(labels, "node", "left").select("pivot", "node", "n", "rank", F.coalesce("component", "node").alias("label"))
+        named = scratch.few(named, "named")
+        sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("size"))
+        per = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.count("*").alias("groups"))
+        per = per.where("groups > 1").select("pivot", "main", "most")
+        named = scratch.few(named.join(per, "pivot").withColumn("out", (F.col("label") != F.col("main")) | (F.col("most") == 1)).drop("main", "most"), "open")
+        if named.isEmpty():
+            return labels
+        place = F.row_number().over(Window.partitionBy("pivot").orderBy("rank", "node"))
+        chosen = named.where("out").withColumn("place", place).where(F.col("place") <= centres)
+        chosen = scratch.few(chosen.select("pivot", "node", "n", "rank", "label"), "centres")
+        x, y = chosen.alias("x"), named.alias("y")
+        pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & feasible).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        found = scratch.gathered(_links(scratch.gathered(pairs, "pairs"), sets, percent), "found")
+        if not found.isEmpty():
+            links = scratch.few(links.unionAll(found), "links")
+            labels = components(links, scratch)
+        rows = named.select("pivot", "node", "n", "rank").join(chosen.select("pivot", "node"), ["pivot", "node"], "left_anti")
+        centres = max(CENTRES, centres * 4)
+
+
+def _labels(documents: DataFrame, nodes: DataFrame, shared: np.ndarray, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of all nodes that have a link."""
+    sets = _Sets(documents, nodes, k, shared, scratch)
+    late = scratch.gathered(_frequent(sets, percent), "late")
+    levels = [] if late.isEmpty() else [Bitmap.of(late, "pivot")]
+    order = scratch.broadcast(levels)
+    rows = sets.through(lambda flat, sizes, node: _window_rows(flat, sizes, node, order.value, percent), _ROWS)
+    regions = scratch.written(_regions(rows), "regions")
+    pairs = scratch.gathered(_direct_pairs(regions, percent), "pairs")
+    large = regions.where("large").select("pivot")
+    members = None
+    if not large.isEmpty():
+        only = scratch.broadcast(Bitmap.of(large, "pivot"))
+        rows = sets.through(lambda flat, sizes, node: _window_rows(flat, sizes, node, order.value, percent, only.value), _ROWS)
+        members = scratch.gathered(rows.join(large, "pivot", "left_semi").select("node").distinct(), "members")
+    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+    needed = scratch.few((needed if members is None else needed.unionAll(members)).distinct(), "needed")
+    some = nodes.join(needed, "node", "left_semi")
+    whole = scratch.written(_whole_sets(_Sets(documents, some, k, shared, scratch), needed), "sets")
+    links = _candidate_links(pairs, whole, percent, scratch)
+    if members is not None:
+        again = scratch.written(whole.join(members, "node", "left_semi"), "again")
+        return _centre_rounds(_recur(again, percent, scratch), again, links, percent, scratch)
+    return components(links, scratch)
 
 
 def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -369,47 +348,22 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     without shingles) and the set's fingerprint."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    sets = written(_sets_table(documents, k, percent), "shingles")
-    nodes = (
-        sets.where("n > 0")
-        .groupBy("fp1", "fp2")
-        .agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("classes").alias("classes"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    nodes = written(nodes, "nodes")
-    late, deep = None, None
-    regions = written(_regions(_rows_of(nodes, "head", None, percent)), "regions")
-    large = regions.where(F.size("members") > REGION).select("pivot")
-    members = None
-    if not large.isEmpty():
-        late = Bitmap.of(written(large.unionByName(_frequent_behind(nodes, Bitmap.of(large, "pivot"), percent)), "late"), "pivot")
-        deep = _whole_sets(documents, _undecided(nodes, late, percent), k)
-        rows = _rows_of(nodes, "head", late, percent).unionByName(_rows_of(deep, "set", late, percent))
-        regions = written(_regions(rows), "regions")
-        large = regions.where(F.size("members") > REGION).select("pivot")
-        if not large.isEmpty():
-            only = Bitmap.of(large, "pivot")
-            rows = _rows_of(nodes, "head", late, percent, only).unionByName(_rows_of(deep, "set", late, percent, only))
-            members = written(rows.join(large, "pivot", "left_semi"), "members")
-    pairs = written(_by_classes(_direct_pairs(regions, percent), nodes, percent), "pairs")
-    needed = pairs.select("a").union(pairs.select("b"))
-    needed = needed.union(members.select("node")) if members is not None else needed
-    whole = _whole_sets(documents, nodes.join(needed.toDF("node").distinct(), "node", "left_semi").select("node", "n", "fp1", "fp2", "first_doc"), k)
-    links = written(_distances(pairs, whole).where(_linked(percent)).select("a", "b"), "links")
-    if members is not None:
-        rows = written(_by_frequency(members, whole, percent), "rare")
-        regions = written(_regions(rows), "regions")
-        pairs = written(_by_classes(_direct_pairs(regions, percent), nodes, percent), "pairs")
-        links = links.unionByName(_distances(pairs, whole).where(_linked(percent)).select("a", "b"))
-        members = written(rows.join(regions.where(F.size("members") > REGION).select("pivot"), "pivot", "left_semi"), "members")
-        links = written(links if members.isEmpty() else _pivot_join(members, whole, nodes, links, percent), "links")
-    labels = components(links)
-    named = nodes.select("node", "fp1", "fp2", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(least, "component").select("fp1", "fp2", "component_id", F.col("component").alias("group"))
-    slim = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp1", "fp2")
-    grouped = slim.join(named, ["fp1", "fp2"], "left")
-    return grouped.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group", "fp1", "fp2")
+    with Scratch(spark) as scratch:
+        prints = scratch.written(_prints(documents, k), "prints")
+        scratch.sized_for(prints.count())
+        nodes = prints.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
+        nodes = scratch.few(nodes, "nodes")
+        twice = nodes.groupBy("fp1").agg(F.count("*").alias("sets")).where("sets > 1")  # n^2 / 2^65 of them are to be expected
+        shared = np.array(sorted(r["fp1"] for r in twice.collect()), np.int64)
+        node = F.when(F.col("fp1").isin(shared.tolist()), F.col("fp1").bitwiseXOR(F.col("fp2"))).otherwise(F.col("fp1")) if len(shared) else F.col("fp1")
+        nodes = nodes.withColumn("node", node)
+        labels = _labels(documents, nodes, shared, k, percent, scratch)
+        named = nodes.select("node", "fp1", "fp2", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+        named = named.join(least, "component").select("fp1", "fp2", "component_id", F.col("component").alias("group"))
+        slim = prints.select("doc_id", F.col("n").alias("n_shingles"), "fp1", "fp2")
+        grouped = slim.join(named, ["fp1", "fp2"], "left")
+        return written(grouped.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group", "fp1", "fp2"), "groups")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,14 +371,39 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+#: All pairs that share a shingle.
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[a : a + 3], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS a FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.least AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near-duplicates: of each group the one of the least doc_id stays.
 
     Rows of equal id and equal text count as one document; a null id stays only if its group has no other.
+    Only texts whose id may be among those that go are shuffled.
     """
-    found = written(groups(documents, k, percent), "groups")
-    gone = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = documents.join(gone, documents["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    spark = documents.sparkSession
+    found = groups(documents, k, percent)
+    gone = written(found.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "gone")
+    hashed = F.xxhash64(documents["doc_id"].cast("long"))
+    maybe = _in_bitmap(spark, Bitmap.of(gone.select(F.xxhash64("doc_id").alias("h")), "h"))
+    few = documents.where(maybe(hashed))
+    kept = documents.where(~maybe(hashed)).unionByName(few.join(gone, few["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti"))
     # rows of one id can't be told apart by it; they are rare and go by their sets
     twice = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if twice.isEmpty():
@@ -439,6 +418,12 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     return single.unionByName(first).unionByName(rows.where("__group is null").select(documents.columns))
 
 
+def _in_bitmap(spark: SparkSession, bitmap: Bitmap) -> Callable[[Column], Column]:
+    """Whether a hash may be in the bitmap; only hashes go to Python, the rows stay where they are."""
+    shared = spark.sparkContext.broadcast(bitmap)
+    return F.arrow_udf(lambda h: pa.array(shared.value.has(np.asarray(h, np.int64))), "boolean")
+
+
 def _with_prints(documents: DataFrame, k: int) -> DataFrame:
     """Adds the fingerprint of each text's set and a hash of the text."""
     schema = T.StructType([*documents.schema.fields, T.StructField("__fp1", T.LongType()), T.StructField("__fp2", T.LongType())])

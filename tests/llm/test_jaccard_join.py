@@ -5,6 +5,7 @@ from llm_support import shingles
 from support import SF
 
 from lodestone.llm import jaccard_join as j
+from lodestone.llm._shared import Scratch
 from lodestone.llm.components import components
 
 
@@ -50,10 +51,10 @@ def corpus(rnd):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "region", "pivots"), [(1, 64, 6), (2, 3, 6), (3, 2, 1), (4, 2, 2)])
-def test_groups_are_those_of_all_pairs(spark, monkeypatch, seed, region, pivots):
+@pytest.mark.parametrize(("seed", "region", "centres"), [(1, 64, 32), (2, 3, 32), (3, 2, 2), (4, 2, 1)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, seed, region, centres):
     monkeypatch.setattr(j, "REGION", region)
-    monkeypatch.setattr(j, "PIVOTS", pivots)
+    monkeypatch.setattr(j, "CENTRES", centres)
     texts = corpus(random.Random(seed))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     sizes, least = plain(texts, 4, 85)
@@ -63,9 +64,10 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, seed, region, pivots)
 
 def test_components_of_chains_stars_and_pairs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
-    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Scratch(spark) as scratch:
+        got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect())
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+        assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
 
 
 def test_query_against_all_pairs(spark):
