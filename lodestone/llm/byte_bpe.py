@@ -16,7 +16,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +29,63 @@ from ._shared import bounded_batches, each_batch, ragged_list, table
 from ._text import byte_chunks, ragged
 from .pretokens import pieces
 
-#: Pieces of which a worker remembers the ids; twice as many at most, some 100 bytes each.
-CACHE_PIECES = 200_000
+#: Pieces of which a worker remembers the ids; twice as many at most, some 40 bytes each.
+CACHE_PIECES = 400_000
+
+
+class Generation:
+    """Ids of pieces by the pieces' 64-bit hash, in flat arrays."""
+
+    def __init__(self) -> None:
+        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys are, and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct ascending keys that aren't there yet, and their ids one after the other."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(len(self.ids) + 2 * len(ids), np.int32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.counts = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.starts, starts), (self.counts, counts)))
 
 
 class PieceCache:
     """Two generations: what hasn't been asked for during a whole generation is forgotten."""
 
     def __init__(self, limit: int = CACHE_PIECES) -> None:
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def get(self, key):
-        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        self.limit, self.young, self.old = limit, Generation(), Generation()
+
+    def ids_of(self, keys: np.ndarray, encode_missing: Callable[[np.ndarray], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of the ids of each of these distinct keys, and the array in which they are.
+
+        ``encode_missing`` gets the places of the keys that aren't known and gives the ids of each.
+        """
+        if len(self.young.keys) + len(keys) > self.limit or self.young.used > 8 * self.limit:
+            self.old, self.young = self.young, Generation()
+        order = np.argsort(keys)
+        keys = keys[order]
+        unknown = np.flatnonzero(~self.young.find(keys)[1])
+        at, there = self.old.find(keys[unknown])
+        if there.any():
+            at = at[there]
+            self.young.add(keys[unknown[there]], self.old.counts[at], self.old.ids[ragged(self.old.starts[at], self.old.counts[at])])
+        missing = unknown[~there]
+        if len(missing):
+            lists = encode_missing(order[missing])
+            self.young.add(keys[missing], np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(chain.from_iterable(lists), np.int32))
+        at = np.empty(len(keys), np.int64)
+        at[order] = self.young.find(keys)[0]
+        return self.young.starts[at], self.young.counts[at], self.young.ids
 
 
 class Ranks:
@@ -117,33 +156,19 @@ def _ranks(path: str) -> tuple[Ranks, PieceCache]:
     return Ranks(path), PieceCache()
 
 
-def chunk_ids(data: np.ndarray, offsets: np.ndarray, encode_missing, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+def chunk_ids(data: np.ndarray, offsets: np.ndarray, encode_missing: Callable[[list[str]], list[list[int]]], cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk, and how many each text has.
 
-    ``encode_missing`` gets the distinct pieces that the cache doesn't know and gives a sequence of ids for each.
+    ``encode_missing`` gets the distinct pieces that the cache doesn't know and gives a list of ids for each.
     """
-    text, starts, ends, first, codes, fresh = pieces(data, offsets)
+    text, starts, ends, first, codes, fresh, keys = pieces(data, offsets)
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-    known: list = []
-    missing: list[tuple[int, str]] = []
-    for k, (s, e) in enumerate(zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)):
-        piece = text[s:e]
-        known.append(found := cache.get(piece))
-        if found is None:
-            missing.append((k, piece))
-    if missing:
-        for (k, piece), ids in zip(missing, encode_missing([p for _, p in missing]), strict=True):
-            known[k] = packed = np.asarray(ids, np.uint32).tobytes()
-            if len(piece) <= 64:
-                cache.put(piece, packed)
-    flat = np.frombuffer(b"".join(known), np.uint32)
-    sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-    places = np.cumsum(sizes) - sizes
-    counts = sizes[codes]
-    ids = flat[ragged(places[codes], counts)]
+    begin, stop = starts[fresh], ends[fresh]
+    at, counts, known = cache.ids_of(keys, lambda which: encode_missing([text[s:e] for s, e in zip(begin[which].tolist(), stop[which].tolist(), strict=True)]))
+    counts = counts[codes]
     sums = np.concatenate(([0], np.cumsum(counts)))
-    return ids.astype(np.int32), sums[first[1:]] - sums[first[:-1]]
+    return known[ragged(at[codes], counts)], sums[first[1:]] - sums[first[:-1]]
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:

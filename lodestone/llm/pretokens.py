@@ -165,12 +165,12 @@ def piece_starts(points: np.ndarray, documents: np.ndarray) -> np.ndarray:
 _POINT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Splits a chunk of UTF-8 texts.
 
     Returns the chunk's text, piece starts and ends in code points, the number of
     the first piece of each document, and for each piece its number among the
-    chunk's distinct pieces with the first place of each of those.
+    chunk's distinct pieces with the first place and the 64-bit hash of each of those.
     """
     text = data.tobytes().decode("utf-8")
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -185,10 +185,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.n
     ends = np.append(starts[1:], len(points))
     first = np.searchsorted(starts, places)
     if not len(starts):
-        return text, starts, ends, first, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return text, starts, ends, first, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     import pandas as pd
 
-    codes, _ = pd.factorize(slice_hashes((points.astype(np.uint64) + np.uint64(1)) * _POINT, starts, ends))
+    codes, keys = pd.factorize(slice_hashes((points.astype(np.uint64) + np.uint64(1)) * _POINT, starts, ends))
     top = np.maximum.accumulate(codes)
     fresh = np.flatnonzero(np.concatenate(([True], top[1:] > top[:-1])))
-    return text, starts, ends, first, codes, fresh
+    return text, starts, ends, first, codes, fresh, keys

@@ -22,6 +22,8 @@ file a partition, each attempt under a name of its own.  Only the attempt that s
 reports its file, so a task that is repeated after a lost executor leaves at worst an
 unused file.  The manifest of files is a written table, one row a file.
 
+Texts get the ids that the library gives by default: an added token that a text spells out is one id.
+
 Defined results: a null text counts as empty and has the end id alone; rows of equal id
 are ordered by a hash of their text; a null id comes first and is kept as null; an
 empty table gives no files.  Columns other than id and text are left out.
@@ -30,6 +32,7 @@ empty table gives no files.  Columns other than id and text are left out.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import uuid
 import zlib
@@ -189,12 +192,34 @@ def read_file(uri: str, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side as it is
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
-    return tokenizer, PieceCache()
+    return tokenizer, PieceCache(), [token.content.encode() for token in tokenizer.get_added_tokens_decoder().values()]
+
+
+def library_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that the library gives for each whole text of a chunk, and how many each text has.
+
+    The library sees the distinct pieces of which the ids aren't known yet; a text in which an added token is spelled out, and
+    which it cuts there, it sees whole.
+    """
+    tokenizer, cache, added = _tokenizer(path)
+
+    def missing(found: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    ids, counts = chunk_ids(data, offsets, missing, cache)
+    raw = data.tobytes()
+    if any(token in raw for token in added):
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if any(token in raw[begin:end] for token in added):
+                parts[i] = np.array(tokenizer.encode(raw[begin:end].decode(), add_special_tokens=False).ids, np.int32)
+        ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+    return ids, counts
 
 
 def write_token_files(df: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,11 +239,6 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 0, doc_id: str = "
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _tokenizer(path)
-
-        def missing(found: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
-
         uri, writer, stream, rows, first, last = f"{folder}/{uuid.uuid4().hex}.pfor", None, None, 0, None, None
         for batch in batches:
             if not batch.num_rows:
@@ -229,7 +249,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 0, doc_id: str = "
             numbers = np.asarray(batch.column(0).fill_null(NULL_ID), np.int64)
             first, last, rows = numbers[0] if first is None else first, numbers[-1], rows + len(numbers)
             for row, end, data, offsets in byte_chunks(batch.column(1)):
-                ids, counts = chunk_ids(data, offsets, missing, cache)
+                ids, counts = library_ids(data, offsets, path)
                 whole = np.full(len(ids) + len(counts), end_id, np.int64)
                 keep = np.ones(len(whole), bool)
                 keep[np.cumsum(counts + 1) - 1] = False

@@ -25,7 +25,7 @@ def test_pieces_are_those_of_the_pattern():
     for _ in range(100):
         texts = ["".join(rnd.choice("  \n\t''''strevelmdxZ1.é漢 !,") for _ in range(rnd.randint(0, 40))) for _ in range(30)]
         coded = [t.encode() for t in texts]
-        text, starts, ends, first, _, _ = pretokens.pieces(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+        text, starts, ends, first, _, _, _ = pretokens.pieces(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
         for i, t in enumerate(texts):
             assert [text[starts[k] : ends[k]] for k in range(first[i], first[i + 1])] == rule.findall(t)
 

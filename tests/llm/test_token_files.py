@@ -1,18 +1,21 @@
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from support import SF
 from tokenizers import Tokenizer
 
 from lodestone.llm import token_files as t
+from lodestone.llm._text import byte_chunks
 
 
 def library():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
@@ -39,6 +42,19 @@ def test_query_gives_what_the_library_gives(spark):
     assert len(got) == len(docs)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(), st.text("ab '\n\té1<|endoftx>"), st.just("a <|endoftext|> b")), max_size=6))
+def test_ids_are_those_of_the_whole_text(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for _, _, data, offsets in byte_chunks(pa.array(texts, pa.string())):
+        ids, counts = t.library_ids(data, offsets, path)
+        expected = [library_once().encode(x, add_special_tokens=False).ids for x in texts]
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == expected
+
+
+library_once = functools.cache(library)
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = t.read_token_files(t.write_token_files(odd_documents, path)).collect()
