@@ -2,7 +2,8 @@
 
 The training text is cut into shards of whole documents.  Each shard gets a suffix
 array over its words, every suffix of every benchmark text is searched in it by
-bisection, and the matches are extended to the longest verbatim one.  Documents in
+bisection, and the matches are extended to the longest verbatim one.  The search goes by hashes of
+words; the words of a match are then compared letter by letter.  Documents in
 which a benchmark window occurs are dropped.
 
 The suffix array is sparse: a suffix is in it only if its first two words follow one
@@ -12,13 +13,14 @@ ordered by the hashes of their first 16 words; windows and matches that are long
 compared word by word, so no depth is cut off.
 
 The benchmark is the fixed side.  It is read in blocks of bounded size, each broadcast
-on its own: a larger benchmark means more passes inside the same scan, not more memory.
+on its own: a larger benchmark means more passes, between which the documents are written with what was found so far, not more memory.
 
 Defined results: words are maximal runs of digits, letters and bytes of other scripts,
 A-Z lower-cased; a window is ``window`` consecutive words of an item, an item of fewer
 words is one window, one without words never occurs.  Null texts have no words.  Rows
 of a document table stay one by one, repeated ones too; items with the same item_id count
-as one.  Other columns pass through; a column of an output's name is replaced.
+as one.  The longest match is that of matches of a whole window or more, 0 without any.  Other columns
+pass through; a column of an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, each_batch, ragged_list, table
+from ._shared import bounded_batches, each_batch, ragged_list, table, written
 from ._text import Words, byte_chunks, mix64, ragged
 
 #: UTF-8 bytes of benchmark texts in one broadcast; a longer text makes a block of its own.
@@ -46,9 +48,13 @@ class Benchmark:
     def __init__(self, items: list[tuple[object, str | None]], window: int) -> None:
         texts = pa.array([t or "" for _, t in items], pa.large_string())
         hashes, lengths = [], []
+        self.spelled: dict[int, bytes] = {}
         for _, _, data, offsets in byte_chunks(texts):
             words = Words(data, offsets, alnum=True)
             hashes.append(words.hashes)
+            for h, word in zip(words.hashes.tolist(), words.spelled(np.arange(len(words.hashes))), strict=True):
+                if self.spelled.setdefault(h, word) != word:
+                    raise ValueError(f"two words of the benchmark have the same hash: {word!r}")
             lengths.append(np.diff(words.bounds))
         self.names = ["" if i is None else str(i) for i, _ in items]
         self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -176,14 +182,19 @@ def mark(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "tex
     bounded_batches(df.sparkSession)
     added = ["n_words", "hit_starts", "hit_lengths", "items", "longest"]
     carried = [c for c in df.columns if c not in added]
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, item_id, item_text)]
     kinds = [T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.IntegerType()]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        columns = [c for c in carried if c != text or keep_text or not last]
+    blocks = benchmark_blocks(benchmark, window, item_id, item_text)
+    block, before = next(blocks), False
+    while block is not None:
+        following = next(blocks, None)
+        columns = [c for c in carried if c != text or keep_text or following is not None]
         schema = T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in zip(added, kinds, strict=True)])
-        before = k > 0
-        df = df.mapInArrow(each_batch(_marker(block, text, columns, added, before)), schema)
+        shared = spark.sparkContext.broadcast(block)
+        df = df.mapInArrow(each_batch(_marker(shared, text, columns, added, before)), schema)
+        if following is not None:
+            df = written(df, "marked")
+            shared.destroy()
+        block, before = following, True
     return df
 
 
@@ -195,12 +206,18 @@ def _marker(shared, text: str, columns: list[str], added: list[str], before: boo
             found = Words(data, offsets, alnum=True)
             counts = np.diff(found.bounds)
             left = np.repeat(found.bounds[1:], counts) - np.arange(len(found.hashes))
-            place, suffix, length = matches(found.hashes, left, bench)
+            while True:
+                place, suffix, length = matches(found.hashes, left, bench)
+                cover = np.bincount(place, minlength=len(left) + 1) - np.bincount(place + length, minlength=len(left) + 1)
+                inside = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+                wrong = [i for i, h, word in zip(inside.tolist(), found.hashes[inside].tolist(), found.spelled(inside), strict=True) if bench.spelled[h] != word]
+                if not wrong:
+                    break
+                found.hashes[wrong] = _END  # another word of equal hash: of no benchmark word's
             doc = np.searchsorted(found.bounds, place, "right") - 1
             # words inside an occurrence: those of a whole run that is common to item and document
-            total = len(found.hashes) + 1
-            cover = np.bincount(place, minlength=total) - np.bincount(place + length, minlength=total)
-            hit = np.concatenate((np.cumsum(cover[:-1]) > 0, [False]))
+            hit = np.zeros(len(left) + 1, bool)
+            hit[inside] = True
             longest = np.zeros(end - row, np.int32)
             np.maximum.at(longest, doc, length.astype(np.int32))
             items: list[list[str]] = [[] for _ in range(end - row)]
@@ -272,5 +289,27 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.size("hit_starts") > 0).alias("contaminated"),
-        "longest",
     )
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT 0 AS side, doc_id::VARCHAR AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id::VARCHAR, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), windows AS (
+  SELECT DISTINCT id AS item, k, array_to_string(w[a : a + k - 1], ' ') AS said
+  FROM (SELECT id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS a FROM words WHERE side = 1 AND len(w) > 0)
+), places AS (
+  SELECT id, a, k, array_to_string(w[a : a + k - 1], ' ') AS said
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM words, (SELECT DISTINCT k FROM windows) WHERE side = 0 AND len(w) >= k)
+), found AS (
+  SELECT id, a, p.k, item FROM places p JOIN windows v ON p.said = v.said AND p.k = v.k
+), hits AS (
+  SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(a, a + k)) AS place FROM found) GROUP BY id
+), items AS (
+  SELECT id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT id, item FROM found) GROUP BY id
+)
+SELECT d.doc_id, len(w.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, coalesce(i.digest, sha256('')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM documents d JOIN words w ON w.side = 0 AND w.id = d.doc_id::VARCHAR LEFT JOIN hits h ON h.id = w.id LEFT JOIN items i ON i.id = w.id
+"""

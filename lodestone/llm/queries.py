@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.OP1_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
 }

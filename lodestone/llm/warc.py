@@ -16,8 +16,10 @@ partition's records follow one another in one file, which the job's commit publi
 
 Defined results: a null url or html counts as empty; an empty page still gives both records,
 the conversion one with an empty block; bytes that aren't UTF-8 are replaced; a response whose
-header can't be parsed has status 0 and is taken as body from its first byte.  Rows stay one by
-one; pages of equal id, url and html give records of equal ids.
+header can't be parsed has status 0 and is taken as body from its first byte.  A record that lacks an id goes by
+one made of its bytes, one without a length, or with one that is no number, reaches to its end, header lines without a colon are skipped; a
+null response gives nulls.  Rows stay one by
+one; pages of equal id, url and html give records of equal ids.  Columns other than those named are left out.
 """
 
 from __future__ import annotations
@@ -63,8 +65,10 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of the first record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    headers = {name.strip(): value.strip() for name, colon, value in lines if colon}
+    size = headers.get("Content-Length", "")
+    return headers, rest[: int(size)] if size.isascii() and size.isdigit() else rest
 
 
 def response(page: str, url: str, body: str, date: str = DATE) -> bytes:
@@ -103,7 +107,7 @@ def derive(source: bytes) -> tuple[dict[str, str], bytes, bytes, str]:
     text = visible_text(html)
     title = _TITLE.search(html)
     lang = _LANG.search(html)
-    origin = headers["WARC-Record-ID"]
+    origin = headers.setdefault("WARC-Record-ID", record_id(hashlib.sha1(source).hexdigest()))
     ids = {kind: record_id(origin, kind) for kind in ("metadata", "conversion")}
     common = [("WARC-Date", headers.get("WARC-Date", DATE)), ("WARC-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Refers-To", origin)]
     facts = [
@@ -145,8 +149,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     names = ["page_id", "response_id", "metadata", "conversion", "text"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        made = [derive(r) for r in batch.column(1).to_pylist()]
-        columns = [[h["WARC-Record-ID"] for h, *_ in made], [m for _, m, _, _ in made], [c for _, _, c, _ in made], [t for *_, t in made]]
+        made = [({}, None, None, None) if r is None else derive(r) for r in batch.column(1).to_pylist()]
+        columns = [[h.get("WARC-Record-ID") for h, *_ in made], [m for _, m, _, _ in made], [c for _, _, c, _ in made], [t for *_, t in made]]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.binary(), pa.string()), strict=True))], names)
 
     return records.select("page_id", "response").mapInArrow(each_batch(run), "page_id long, response_id string, metadata binary, conversion binary, text string")

@@ -1,6 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from support import SF
 
 from lodestone.llm import decontaminate as d
@@ -53,6 +56,23 @@ def test_a_benchmark_in_many_blocks(spark, monkeypatch):
     compare(spark, [say(40) for _ in range(20)], [(k, say(9)) for k in range(8)], 5)
 
 
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    bench = d.Benchmark([(1, "aa bb cc")], 3)
+
+    class Twins(d.Words):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            for i, word in enumerate(self.spelled(np.arange(len(self.hashes)))):
+                if word == b"zz":
+                    self.hashes[i] = bench.words[1]
+
+    monkeypatch.setattr(d, "Words", Twins)
+    added = ["n_words", "hit_starts", "hit_lengths", "items", "longest"]
+    batch = pa.RecordBatch.from_pydict({"text": ["aa zz cc", "aa bb cc aa zz cc"]})
+    (out,) = d._marker(SimpleNamespace(value=bench), "text", ["text"], added, False)(batch)
+    assert out.column("hit_starts").to_pylist() == [[], [0]] and out.column("items").to_pylist() == [[], ["1"]]
+
+
 def test_longest_match_goes_beyond_the_window(spark):
     item = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"x {item} y"), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 z")], "doc_id long, text string")

@@ -75,3 +75,13 @@ def test_odd_pages(spark, tmp_path):
     w.write_warc(w.derivatives(w.responses(pages)), f"file://{tmp_path}/out")
     whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
     assert whole.count(b"WARC/1.1\r\n") == 8
+
+
+def test_odd_records(spark):
+    records = [None, b"", b"WARC/1.1\r\nWARC-Type:response\r\nnonsense\r\n\r\n<p>a b</p>", b"WARC/1.1\r\nContent-Length: x\r\nWARC-Record-ID:<urn:x>\r\n\r\nHTTP/1.1 404 no\r\n\r\nc", b"\xff\xfe"]
+    rows = w.derivatives(spark.createDataFrame(list(enumerate(records)), "page_id long, response binary")).collect()
+    by = {r["page_id"]: r for r in rows}
+    assert by[0]["metadata"] is None and by[0]["response_id"] is None
+    assert [by[i]["text"] for i in range(1, 5)] == ["", "a b", "c", ""]
+    assert by[3]["response_id"] == "<urn:x>" and b"http-status: 404" in by[3]["metadata"]
+    assert len({by[i]["response_id"] for i in range(1, 5)}) == 4
