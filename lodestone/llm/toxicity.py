@@ -5,15 +5,18 @@ letters; digits beside a letter and signs between letters become the letters the
 stand for; marks and zero-width characters vanish; everything else is a space.  ``i``,
 ``l`` and ``1`` fold into one letter, as a ``1`` may stand for either.
 
-The lexicon holds word beginnings and whole words with weights, learned as log-odds of
-their document frequency among toxic and clean training rows; a beginning that says
-as much as a longer one stands for it.  One automaton finds all entries and all exception
+The lexicon holds whole words with weights, learned as log-odds of their document frequency
+among toxic and clean training rows.  A beginning takes the place of words only if two or more
+of them have it and it weighs nearly as much as the heaviest, that is, if clean words hardly have it.
+Exception phrases are those given and the pairs of a lexicon word and a neighbour that are as
+good as always clean among the training rows.  One automaton finds all entries and all exception
 phrases in a chunk of documents; a hit inside an exception phrase doesn't count.  A
 logistic curve over the weight found and the weight per word gives the score.
 
 The fit uses at most ``max_rows`` labelled rows of each class (those with the least
 hash of their id).  The curve is fitted to what each half of them weighs by the lexicon of
-the other half; the lexicon that is used comes from both.  That bound is a parameter of the classifier alone: every document is scored, whole.
+the other half; the lexicon that is used comes from both.  That bound is a parameter of the classifier alone: every document is scored,
+whole.  It bounds the lexicon, too, as each entry takes the evidence of several toxic rows.
 
 Defined results: null and empty texts have no hits and get the curve's value for none.
 Rows stay one by one.  Labels of an id count once, toxic if any of them is; null ids
@@ -29,6 +32,7 @@ import functools
 import json
 import math
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,15 +47,13 @@ from ._shared import bounded_batches, each_batch, fold, table, written
 
 #: Labelled rows of each class that the fit takes at most.
 MAX_ROWS = 10_000
-#: Lexicon entries at most, the ones with the most toxic documents first.
-MAX_ENTRIES = 20_000
 #: Log-likelihood ratio from which on an entry's counts aren't chance.
 EVIDENCE = 12
 #: Least weights of an entry among which the fit chooses.
-FLOORS = (2.0, 3.0, 4.0, 5.0, 6.0, 7.0)
+FLOORS = (3.0, 4.0, 5.0, 6.0, 7.0)
 _COUNTS = ("clean0", "toxic0", "clean1", "toxic1")
-#: Phrases in which a lexicon word is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "scum line", "pathetic fallacy")
+#: Weight that a beginning may have less than the heaviest word that it stands for.
+SLACK = 0.5
 
 # Letters of other scripts that look like Latin ones.
 _HOMOGLYPHS = {
@@ -120,7 +122,7 @@ def fold_phrase(phrase: str) -> str:
     return f" {' '.join(fold_texts([phrase])[0].split())} "
 
 
-def text_chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+def text_chunks(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, end row, texts) of about so many characters; null counts as empty."""
     row, size = 0, 0
     for i, t in enumerate(texts):
@@ -135,7 +137,7 @@ class Lexicon:
     """Entries with weights (a leading space: a word's beginning, a trailing one: its end), exceptions and the curve."""
 
     weights: tuple[tuple[str, float], ...]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def dumps(self) -> str:
@@ -222,7 +224,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, max_rows: int) -> tuple[D
     return rows, totals  # 2 * max_rows ids are broadcast at most
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fits lexicon and curve; only lexicon entries and two numbers for each labelled row come to the driver."""
     bounded_batches(documents.sparkSession)
     rows, totals = _labelled(documents, labels, max_rows)
@@ -268,7 +270,44 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exc
     curves = [_curve(*(data[c].to_numpy() for c in (w, "words", "y")), totals, prior) for w in weights]
     (curve, _), floor = min(zip(curves, FLOORS, strict=True), key=lambda c: c[0][1])
     entries = tuple(e for e in _entries(sums, "clean0 + clean1", "toxic0 + toxic1") if e[1] >= floor)
-    return Lexicon(entries, exceptions, curve if entries else (prior, 0.0, 0.0))
+    if not entries:
+        return Lexicon((), exceptions, (prior, 0.0, 0.0))
+    return Lexicon(entries, (*exceptions, *_harmless(rows, Lexicon(entries, exceptions).dumps())), curve)
+
+
+def _contexts(text: str, dumped: str) -> set[str]:
+    """The words that hits are in, and each with the word before and the word behind it; and one entry for any hit."""
+    folded = fold_texts([text])[0]
+    out = set()
+    for end, (weight, size) in _automaton(dumped).iter(folded):
+        if weight:
+            begin, stop = end - size + 1, folded.find(" ", end)
+            word = folded[begin + 1 : stop]
+            before, behind = folded[max(0, begin - 40) : begin].split(), folded[stop : stop + 40].split()
+            out |= {f"{before[-1]} {word}"} if before else set()
+            out |= {f"{word} {behind[0]}"} if behind else set()
+            out.add("")
+    return out
+
+
+def _harmless(rows: DataFrame, dumped: str) -> tuple[str, ...]:
+    """Pairs of a lexicon word and a neighbour that are far more often clean than hits are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [Counter(), Counter()]
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                seen[y].update(_contexts(text, dumped))
+        names = list(set().union(*seen))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in seen)], ["phrase", "clean", "toxic"])
+
+    sums = written(rows.select("text", "y").mapInArrow(count, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "contexts")
+    total = sums.where("phrase = ''").first()
+    if not total or not total["clean"]:
+        return ()
+    share = total["clean"] / (total["clean"] + total["toxic"])
+    surprise = F.col("clean") * F.log(F.lit(1 / share))  # of no toxic row among so many
+    return tuple(sorted(r["phrase"] for r in sums.where((F.col("phrase") != "") & (F.col("toxic") == 0) & (surprise >= EVIDENCE)).collect()))
 
 
 def _entries(sums: DataFrame, clean: str, toxic: str) -> tuple[tuple[str, float], ...]:
@@ -282,12 +321,22 @@ def _entries(sums: DataFrame, clean: str, toxic: str) -> tuple[tuple[str, float]
     weight = F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
     chance = t * F.log(t / ((t + c) * (n1 / (n0 + n1)))) + F.when(c > 0, c * F.log(c / ((t + c) * (n0 / (n0 + n1))))).otherwise(0)
     strong = counts.where("entry <> '' and toxic > 0").withColumn("weight", weight).where((F.col("weight") >= 2) & (chance >= EVIDENCE))
-    listed = strong.orderBy(F.desc("toxic"), "entry").limit(MAX_ENTRIES).collect()
+    return _stems({r["entry"]: round(float(r["weight"]), 4) for r in strong.select("entry", "weight").collect()})
+
+
+def _stems(strong: dict[str, float]) -> tuple[tuple[str, float], ...]:
+    """Whole words, but those that share a beginning that weighs nearly as much as the heaviest of them go by it, the longest such one."""
+    words = sorted(e for e in strong if e[-1] == " ")
+    alike: dict[tuple[str, ...], str] = {}
+    for beginning in sorted(e for e in strong if e[-1] != " "):  # a longer one comes behind those that it has as beginnings
+        at = bisect_left(words, beginning)
+        stop = bisect_left(words, beginning + "\U0010ffff")
+        if stop - at > 1 and strong[beginning] >= max(strong[w] for w in words[at:stop]) - SLACK:
+            alike[tuple(words[at:stop])] = beginning
     kept: dict[str, float] = {}
-    for row in sorted(listed, key=lambda r: (len(r["entry"]), r["entry"])):
-        entry = row["entry"]
-        if not any(kept.get(entry[:k], -9) >= row["weight"] - 0.5 for k in range(4, len(entry))):
-            kept[entry] = round(float(row["weight"]), 4)
+    for entry in sorted([*alike.values(), *words], key=lambda e: (len(e), e)):
+        if not any(entry[:k] in kept for k in range(4, len(entry))):
+            kept[entry] = strong[entry]
     return tuple(kept.items())
 
 

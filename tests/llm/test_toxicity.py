@@ -54,6 +54,31 @@ def test_held_out_documents_are_told_apart(spark):
     assert kept == {i for i, p in got.items() if p == 0}
 
 
+def test_a_beginning_needs_two_words_and_no_clean_ones():
+    strong = {" tra": 5.0, " tras": 7.0, " trash ": 7.2, " trashy ": 7.1, " wor": 4.0, " worthy ": 4.9, " worm ": 4.0, " mor": 7.0, " moron ": 7.0, " trashe": 6.0}
+    assert dict(x._stems(strong)) == {" tras": 7.0, " worthy ": 4.9, " worm ": 4.0, " moron ": 7.0}
+
+
+def test_exceptions_are_learned(spark):
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(900):
+        words = [str(w) for w in rng.choice(common, 40)]
+        toxic = int(i % 6 == 0)
+        at = int(rng.integers(1, 38))
+        if toxic:
+            words[at] = "grobnik"
+        elif i % 36 == 1:
+            words[at : at + 2] = ["grobnik", "Tower"]
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    made = x.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert [e for e, _ in made.weights] == [" grobnik "] and made.exceptions == ("grobnik tower",)
+    tried = spark.createDataFrame([(1, "a grobnik tower"), (2, "a grobnik towers"), (3, "grobnik")], "doc_id long, text string")
+    assert [r["toxic_hits"] for r in x.score(tried, made).orderBy("doc_id").collect()] == [0, 1, 1]
+
+
 def test_odd_documents_and_labels(spark, odd_documents, no_documents):
     rows = x.score(odd_documents, lexicon()).collect()
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
