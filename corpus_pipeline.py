@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), with the columns of ``documents``, and works on all that
 the one before has kept; what it returns is written as Parquet and read again.
+
+Defined results: only the columns of ``documents`` are kept, whatever others there are and whatever their
+names.  A null or empty text has the lexicon's score for none, is nobody's near-duplicate, holds no leak and
+has no tokens, so it stays unless its fellows are toxic for having nothing.  Of rows of equal id and
+equal text one stays; of rows of equal id and different texts each is judged by its own text.  A null
+doc_id is a document like any other, but stays only if its group has no other.  An empty table gives no rows.
 """
 
 from __future__ import annotations
