@@ -28,7 +28,7 @@ def _with_suffix(path: Column, suffix: Column) -> Column:
 
 
 def _clean(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), "(?<=.)/+", "/")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), "(?<=.)/+", "/"), r"^(?:\./)+(?=.)", "")
 
 
 def _parent(path: Column, levels: Column) -> Column:

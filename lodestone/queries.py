@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import package_queries
 from .functions import columns as fn
 from .functions import validation as v
 from .operators import report
@@ -86,11 +87,6 @@ def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of the generated classes, which its SQL covers; ``all_py_chunks`` has all."""
-    return _chunk_rows(g.nations(spark, sf_dir).plain_chunks.where("name like 'S%' and node_type = 'class_definition'"))
-
-
-def all_py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(g.nations(spark, sf_dir).plain_chunks)
 
 
@@ -108,7 +104,7 @@ def skeleton_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = g.nations(spark, sf_dir).plain_chunks.where("kind = 'file_skeleton'")
-    return rows.select("file_path", "chunk_id", "end_line", F.size(F.split("code", "\n")).cast("long").alias("lines"))
+    return rows.select("file_path", "chunk_id", "end_line", "code")
 
 
 def import_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +116,13 @@ def wildcard_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.nations(spark, sf_dir).files.select("file_path", "import_text", F.size("import_ranges").cast("long").alias("statements"))
+    ranges = F.array_join(F.transform("import_ranges", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return g.nations(spark, sf_dir).files.select("file_path", "import_text", ranges.alias("ranges"))
 
 
 def symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = g.nations(spark, sf_dir).symbols.where("tbl = 'full'")
-    return rows.groupBy("path").agg(F.count("*").alias("names"), F.count_if(F.contains("q", F.lit("."))).alias("methods"))
+    rows = g.nations(spark, sf_dir).symbols
+    return rows.groupBy("path", "tbl").agg(F.count("*").alias("names"), F.count_if(F.contains("q", F.lit("."))).alias("methods"))
 
 
 def first_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,17 +147,12 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The references outside the generated functions, which its SQL covers; ``all_resolved_refs`` has all."""
-    return _with_targets(g.nations(spark, sf_dir), "chunk_name not like 'f\\_%'")
-
+    return _with_targets(g.nations(spark, sf_dir))
 
-def all_resolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_targets(g.nations(spark, sf_dir), "true")
 
-
-def _with_targets(r: g.Repository, which: str) -> DataFrame:
+def _with_targets(r: g.Repository) -> DataFrame:
     targets = r.plain_chunks.select(F.col("chunk_id").alias("points_to"), F.col("full_name").alias("target"), F.col("file_path").alias("target_path"))
-    named = r.refs.where(which).join(targets, "points_to", "left")
+    named = r.refs.join(targets, "points_to", "left")
     return named.groupBy("file_path", "text", "kind", "status", "target_path").agg(F.count("*").alias("n"), F.count("target").alias("hits"))
 
 
@@ -200,8 +192,8 @@ def four_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        skip_reasons, skip_counts, line_stats, binary_docs, minified_docs, repository_size, url_hosts, valid_refs, stable_ids, reference_parts, import_names, py_chunks, all_py_chunks, chunk_kinds, skeleton_texts,
-        file_skeletons, import_bindings, wildcard_imports, import_texts, symbol_index, first_symbols, status_counts, resolved_refs, all_resolved_refs, report_totals, sample_resolved, sample_unresolved, suspicious_refs, four_languages,
+        skip_reasons, skip_counts, line_stats, binary_docs, minified_docs, repository_size, url_hosts, valid_refs, stable_ids, reference_parts, import_names, py_chunks, chunk_kinds, skeleton_texts,
+        file_skeletons, import_bindings, wildcard_imports, import_texts, symbol_index, first_symbols, status_counts, resolved_refs, report_totals, sample_resolved, sample_unresolved, suspicious_refs, four_languages,
     )
 }
 
@@ -261,6 +253,35 @@ WITH s AS (
 )
 """
 _KEPT = f"strlen(code) <= {g.BUDGET}"
+_CONTENT = (
+    _NATIONS
+    + """
+, fn AS (
+  SELECT cu.k, c_custkey AS key, 'def f_' || c_custkey || '(x):' || chr(10) || '    return S' || least || '(x).m(x)' AS code FROM cu JOIN (SELECT k, min(key) AS least FROM s GROUP BY k) USING (k)
+), file AS (
+  SELECT n.k, n.path, n.head || chr(10) || chr(10) || 'def helper(x):' || chr(10) || '    return len(x)' || repeat(chr(10), 3)
+         || coalesce((SELECT string_agg(code || repeat(chr(10), 3), '' ORDER BY key) FROM c WHERE c.k = n.k), '')
+         || coalesce((SELECT string_agg(code || repeat(chr(10), 3), '' ORDER BY key) FROM fn WHERE fn.k = n.k), '') AS content,
+         '# file: ' || n.path || chr(10) || n.head || 'def helper(x):...'
+         || coalesce((SELECT string_agg(chr(10) || 'class ' || name || '(Base):...', '' ORDER BY key) FROM c WHERE c.k = n.k), '')
+         || coalesce((SELECT string_agg(chr(10) || 'def f_' || key || '(x):...', '' ORDER BY key) FROM fn WHERE fn.k = n.k), '') AS overview
+  FROM n
+), defs AS (
+  SELECT file.*, name AS full_name, strpos(content, 'class ' || name || '(') - 1 AS start, code, '' AS inside FROM file JOIN c USING (k)
+  UNION ALL SELECT file.*, 'helper', strpos(content, 'def helper(') - 1, 'def helper(x):' || chr(10) || '    return len(x)', '' FROM file
+  UNION ALL SELECT file.*, 'f_' || key, strpos(content, 'def f_' || key || '(') - 1, code, '' FROM file JOIN fn USING (k)
+), parts AS (
+  SELECT * FROM defs
+  UNION ALL SELECT k, path, content, overview, full_name || '.m', start + strpos(code, 'def m(') - 1, substr(code, strpos(code, 'def m('), strpos(code, 'return nxt(a)') + 13 - strpos(code, 'def m(')), full_name FROM defs WHERE full_name LIKE 'S%' AND strlen(code) > """
+    + str(g.BUDGET)
+    + """
+  UNION ALL SELECT k, path, content, overview, full_name || '.n', start + strpos(code, 'def n(') - 1, substr(code, strpos(code, 'def n(')), full_name FROM defs WHERE full_name LIKE 'S%' AND strlen(code) > """
+    + str(g.BUDGET)
+    + """
+)
+"""
+)
+_FILE_ID = "substr(sha1(path || ':0:<file_skeleton:' || path || '>'), 1, 16)"
 
 ORACLE_SQL = {
     "skip_reasons": _FILES + f"SELECT doc_id, {_REASON} AS reason FROM z",
@@ -290,14 +311,18 @@ SELECT o_orderkey, array_to_string(list_transform(string_split(t, '.'), lambda p
     "import_names": """
 SELECT page_id, string_split(rtrim(url, '/'), '/')[-1] AS bound, page_id % 2 = 0 OR starts_with(url, '.') AS relative, CASE WHEN page_id % 2 = 0 THEN '..n' ELSE 'a.b.n' END AS joined FROM pages
 """,
-    "py_chunks": _NATIONS
+    "py_chunks": _CONTENT
     + f"""
-SELECT substr(sha1(path || ':' || start || ':' || name), 1, 16) AS chunk_id, path AS file_path, name AS full_name, CASE WHEN {_KEPT} THEN 'definition' ELSE 'definition_skeleton' END AS kind,
-       start::INTEGER AS start_byte, (start + strlen(code))::INTEGER AS end_byte, (10 + nth * 10)::INTEGER AS start_line, (17 + nth * 10)::INTEGER AS end_line,
-       CASE WHEN size > 200 THEN substr(sha1(p.path || ':0:<file_skeleton:' || p.path || '>'), 1, 16) END AS parent_chunk_id,
-       CASE WHEN {_KEPT} THEN length(code) ELSE length('class ' || name || '(Base):') + 2 + 2 * 4 + length('def m(self, a):...') + length('def n(self, a):...') END AS size_chars,
-       CASE WHEN {_KEPT} THEN name || '.m,' || name || '.n' ELSE '' END AS contained
-FROM p JOIN big USING (k, path)
+, ids AS (SELECT *, substr(sha1(path || ':' || start || ':' || full_name), 1, 16) AS id FROM parts)
+SELECT i.id AS chunk_id, i.path AS file_path, i.full_name, CASE WHEN i.full_name LIKE 'S%' AND i.inside = '' AND strlen(i.code) > {g.BUDGET} THEN 'definition_skeleton' ELSE 'definition' END AS kind,
+       i.start::INTEGER AS start_byte, (i.start + strlen(i.code))::INTEGER AS end_byte, len(string_split(substr(i.content, 1, i.start), chr(10)))::INTEGER AS start_line,
+       len(string_split(substr(i.content, 1, i.start + length(i.code)), chr(10)))::INTEGER AS end_line,
+       CASE WHEN i.inside <> '' THEN o.id WHEN strlen(i.content) > 200 THEN substr(sha1(i.path || ':0:<file_skeleton:' || i.path || '>'), 1, 16) END AS parent_chunk_id,
+       (CASE WHEN i.full_name LIKE 'S%' AND i.inside = '' AND strlen(i.code) > {g.BUDGET} THEN length('class ' || i.full_name || '(Base):') + 2 + 2 * 4 + length('def m(self, a):...') + length('def n(self, a):...') ELSE length(i.code) END)::INTEGER AS size_chars,
+       CASE WHEN i.full_name LIKE 'S%' AND i.inside = '' AND strlen(i.code) <= {g.BUDGET} THEN i.full_name || '.m,' || i.full_name || '.n' ELSE '' END AS contained
+FROM ids i LEFT JOIN ids o ON o.path = i.path AND o.full_name = i.inside
+UNION ALL
+SELECT {_FILE_ID}, path, path, 'file_skeleton', 0, 0, 1, len(string_split(content, chr(10)))::INTEGER, NULL, length(overview)::INTEGER, '' FROM file WHERE strlen(content) > 200
 """,
     "chunk_kinds": _NATIONS
     + f"""
@@ -311,23 +336,23 @@ SELECT path AS file_path, kind, sum(n)::BIGINT AS n FROM (
     + f"""
 SELECT name AS full_name, 'class ' || name || '(Base):' || chr(10) || '    def m(self, a):...' || chr(10) || '    def n(self, a):...' AS code FROM p WHERE NOT {_KEPT}
 """,
-    "file_skeletons": _NATIONS
-    + """
-SELECT n.path AS file_path, substr(sha1(n.path || ':0:<file_skeleton:' || n.path || '>'), 1, 16) AS chunk_id,
-       (10 + 10 * (SELECT count(*) FROM s WHERE s.k = n.k) + 4 * (SELECT count(*) FROM cu WHERE cu.k = n.k))::INTEGER AS end_line,
-       1 + 3 + 1 + (SELECT count(*) FROM s WHERE s.k = n.k) + (SELECT count(*) FROM cu WHERE cu.k = n.k) AS lines
-FROM n JOIN big ON big.k = n.k WHERE big.size > 200
-""",
+    "file_skeletons": _CONTENT + f"SELECT path AS file_path, {_FILE_ID} AS chunk_id, len(string_split(content, chr(10)))::INTEGER AS end_line, overview AS code FROM file WHERE strlen(content) > 200",
     "import_bindings": _NATIONS
     + """
 SELECT path AS file_path, 'os' AS local_name, NULL::VARCHAR AS resolved_path, 'os' AS remote_name, 'module' AS kind, 0 AS extra_segments FROM n
 UNION ALL SELECT path, 'nxt', 'n' || ((k + 1) % 25) || '.py', 'helper', 'named', 0 FROM n
 """,
     "wildcard_imports": _NATIONS + "SELECT path AS file_path, 'n' || ((k + 2) % 25) || '.py' AS modules FROM n",
-    "import_texts": _NATIONS + "SELECT path AS file_path, rtrim(head, chr(10)) AS import_text, 3::BIGINT AS statements FROM n",
-    "symbol_index": _NATIONS
+    "import_texts": _NATIONS
     + """
-SELECT path, 1 + 3 * (SELECT count(*) FROM s WHERE s.k = n.k) + (SELECT count(*) FROM cu WHERE cu.k = n.k) AS names, 2 * (SELECT count(*) FROM s WHERE s.k = n.k) AS methods FROM n
+, l AS (SELECT path, rtrim(head, chr(10)) AS said, string_split(rtrim(head, chr(10)), chr(10)) AS w FROM n)
+SELECT path AS file_path, said AS import_text, '0-9,10-' || (10 + length(w[2])) || ',' || (11 + length(w[2])) || '-' || length(said) AS ranges FROM l
+""",
+    "symbol_index": _NATIONS
+    + f"""
+, z AS (SELECT path, (SELECT count(*) FROM s WHERE s.k = n.k) AS classes, (SELECT count(*) FROM cu WHERE cu.k = n.k) AS functions, (SELECT count(*) FROM c WHERE c.k = n.k AND NOT {_KEPT}) AS cut FROM n)
+SELECT path, 'full' AS tbl, 1 + 3 * classes + functions AS names, 2 * classes AS methods FROM z
+UNION ALL SELECT path, 'simple', 1 + classes + functions + CASE WHEN cut > 0 THEN 2 ELSE 0 END, 0 FROM z
 """,
     "first_symbols": """
 WITH c AS (SELECT 'c' || conv_id AS path, role AS q, arg_min(substr(sha1(conv_id || ':' || turn || ':' || role), 1, 16), turn) AS chunk_id FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, role)
@@ -345,6 +370,7 @@ SELECT path AS file_path, text, kind, status, target_path, count(*) AS n, count(
   UNION ALL SELECT path, 'self.n', 'call', 'local', path FROM p UNION ALL SELECT path, 'nxt', 'call', 'local', 'n' || ((k + 1) % 25) || '.py' FROM p
   UNION ALL SELECT path, 'os.path.join', 'call', 'external', NULL FROM p UNION ALL SELECT path, 'helper', 'call', 'local', path FROM p
   UNION ALL SELECT path, 'unknown_fn', 'call', 'unresolved', NULL FROM p UNION ALL SELECT path, 'len', 'call', 'builtin', NULL FROM n
+  UNION ALL SELECT path, first || call, 'call', 'local', path FROM (SELECT path, 'S' || (SELECT min(key) FROM s WHERE s.k = n.k) AS first FROM cu JOIN n USING (k)), (VALUES (''), ('(x).m')) AS v(call)
 ) GROUP BY ALL
 """,
     "report_totals": _NATIONS
@@ -392,3 +418,5 @@ SELECT file_path, substr(sha1(file_path || ':' || start || ':' || name), 1, 16)
 FROM c
 """,
 }
+QUERIES |= package_queries.QUERIES
+ORACLE_SQL |= package_queries.ORACLE_SQL
