@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
+from .parsing.model import FrontEnd
+
 # Names that a language brings along.
 _PYTHON_BUILTINS = """
 abs all any ascii bin bool bytearray bytes callable chr classmethod compile complex delattr dict dir divmod enumerate
@@ -47,11 +48,10 @@ REGISTRY = (
 )
 BY_NAME = {x.name: x for x in REGISTRY}
 BY_EXTENSION = {x.extension: x for x in REGISTRY}
-assert len(BY_NAME) == len(BY_EXTENSION) == len(REGISTRY)
 
 
-def front_end(language: str) -> Callable:
-    """The function that parses a file of this language; loaded where it is first asked for."""
+def front_end(language: str) -> FrontEnd:
+    """The function that parses a file of this language."""
     from importlib import import_module
 
     from .errors import LanguageLoadError, UnregisteredLanguageError
@@ -63,3 +63,25 @@ def front_end(language: str) -> Callable:
         return getattr(import_module(module), name)
     except (ImportError, AttributeError) as error:
         raise LanguageLoadError(language) from error
+
+
+def check(registry: tuple[Language, ...] = REGISTRY) -> None:
+    """Raises ImportError unless names and extensions are unique and every front end is there and keeps to the protocol."""
+    from .errors import LanguageLoadError
+    from .parsing.model import Source
+
+    for field in ("name", "extension"):
+        if len({getattr(x, field) for x in registry}) < len(registry):
+            raise ImportError(f"two languages have the same {field}")
+    for x in registry:
+        if not x.extension.startswith("."):
+            raise ImportError(f"{x.name}: extension {x.extension!r}")
+        try:
+            found = front_end(x.name)(b"")
+        except (KeyError, TypeError, LanguageLoadError) as error:
+            raise ImportError(f"{x.name}: {error!r}") from error
+        if not isinstance(found, Source):
+            raise ImportError(f"{x.name}: its front end gives {type(found).__name__}")
+
+
+check()

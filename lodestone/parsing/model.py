@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from typing import Protocol
 
 
 def with_comments(ranges: list[tuple[int, int]], comments: list[tuple[int, int]], begin: int, end: int) -> list[tuple[int, int]]:
@@ -114,3 +115,9 @@ class Source:
             "raw_imports": [{"ord": i, **vars(x)} for i, x in enumerate(self.imports)],
             "root": parts(self.root),
         }
+
+
+class FrontEnd(Protocol):
+    """What a language's front end is: a file's bytes to what it holds, or an IngestionError."""
+
+    def __call__(self, content: bytes) -> Source: ...

@@ -105,7 +105,10 @@ class Repository:
         self.totals().show(truncate=False)
         report.sample(self.refs, "local", 10).show(10, truncate=False)
         report.sample(self.refs, "unresolved", 20).show(20, truncate=False)
-        report.suspicious(self.refs, self.plain_chunks).show(truncate=False)
+        suspicious = report.suspicious(self.refs, self.plain_chunks)
+        print(f"{suspicious.count()} suspicious unresolved references")  # noqa: T201
+        for row in suspicious.toLocalIterator():  # all of them, a partition at a time
+            print(*row, sep="\t")  # noqa: T201
 
 
 def ingest(

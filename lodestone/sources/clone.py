@@ -61,12 +61,15 @@ def size_of(path: str) -> int:
 
 
 @contextmanager
-def clone(url: str, ref: str | None = None, hosts: tuple[str, ...] = settings.ALLOWED_REPOSITORY_HOSTS, max_mb: float = settings.MAX_REPO_SIZE_MB, timeout: int = settings.CLONE_TIMEOUT_SECONDS) -> Iterator[ClonedRepo]:
-    """A shallow clone in a folder of its own, which is gone after the block, however it ends."""
+def clone(url: str, ref: str | None = None, hosts: tuple[str, ...] = settings.ALLOWED_REPOSITORY_HOSTS, max_mb: float = settings.MAX_REPO_SIZE_MB, timeout: int = settings.CLONE_TIMEOUT_SECONDS, below: str | None = None) -> Iterator[ClonedRepo]:
+    """A shallow clone in a folder of its own, which is gone after the block, however it ends.
+
+    On a cluster ``below`` names a mounted folder that the driver and all executors share; without it the folder is this machine's.
+    """
     check_url(url, hosts)
     if ref is not None:
         check_ref(ref)
-    folder = tempfile.mkdtemp(prefix="repo-")
+    folder = tempfile.mkdtemp(prefix="repo-", dir=below)
     try:
         check_url(url, hosts)  # the name may have got another address meanwhile
         branch = [f"--branch={ref}"] if ref else []

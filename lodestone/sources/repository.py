@@ -21,6 +21,8 @@ from ..settings import MAX_FILE_SIZE_MB, SKIP_DIRS
 #: Bytes of files that one task reads, about.
 _TASK_BYTES = 32 << 20
 _TASK_FILES = 5000
+#: Folders from which on a listing isn't split further, and levels down to which it is at most.
+_LISTING_TASKS, _UPPER_LEVELS = 64, 4
 
 
 def normal_root(root: str) -> str:
@@ -93,31 +95,46 @@ class RepositoryFiles(DataSource):
         return _FileReader(self.options)
 
 
+class _Folders(InputPartition):
+    def __init__(self, paths: list[str], deep: bool) -> None:
+        self.paths, self.deep = paths, deep
+
+
 class _ListingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root = normal_root(options["path"])
 
     def partitions(self) -> list[InputPartition]:
-        try:
-            names = sorted(os.listdir(self.root))
-        except OSError:
-            names = []
-        folders = [posixpath.join(self.root, n) for n in names if os.path.isdir(os.path.join(self.root, n)) and not os.path.islink(os.path.join(self.root, n))]
-        return [_Group([self.root]), *(_Group([f]) for f in folders)]
+        """The upper folders are listed by one task; each folder below them has a task, with all that is in it."""
+        upper, lower = [], [self.root]
+        for _ in range(_UPPER_LEVELS):
+            if len(lower) >= _LISTING_TASKS:
+                break
+            upper += lower
+            lower = [d for folder in lower for d in _subfolders(folder)]
+        return [_Folders(upper, False), *(_Folders([f], True) for f in lower)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        (top,) = partition.paths
-        for folder, folders, names in os.walk(top):
-            yield folder, True, None
-            for name in names + [d for d in folders if os.path.islink(os.path.join(folder, d))]:
-                path = posixpath.join(folder, name)
-                try:
-                    regular = os.path.isfile(path) and not os.path.islink(path)
-                    yield path, os.path.isdir(path), os.path.getsize(path) if regular else None
-                except OSError:
-                    continue
-            if top == self.root:
-                return  # what lies deeper has tasks of its own
+        for top in partition.paths:
+            for folder, folders, names in os.walk(top):
+                yield folder, True, None
+                for name in names + [d for d in folders if os.path.islink(os.path.join(folder, d))]:
+                    path = posixpath.join(folder, name)
+                    try:
+                        regular = os.path.isfile(path) and not os.path.islink(path)
+                        yield path, os.path.isdir(path), os.path.getsize(path) if regular else None
+                    except OSError:
+                        continue
+                if not partition.deep:
+                    break
+
+
+def _subfolders(folder: str) -> list[str]:
+    try:
+        with os.scandir(folder) as entries:
+            return sorted(posixpath.join(folder, e.name) for e in entries if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
 
 
 class RepositoryListing(DataSource):

@@ -114,6 +114,17 @@ def test_script_skeletons_print_braces_and_stubs():
     assert [p["sig"] or p["text"] for p in d["body"]] == ["{", "x = 1", ";", "// c", "f()...", "}"]
 
 
+def test_a_registry_that_breaks_the_contract_is_refused():
+    from dataclasses import replace
+
+    from lodestone import languages
+
+    languages.check()
+    for broken in (replace(REGISTRY[0], name="go"), replace(REGISTRY[0], extension="py"), replace(REGISTRY[1], extension=".go")):
+        with pytest.raises(ImportError):
+            languages.check((broken, *REGISTRY[2:]))
+
+
 @pytest.mark.parametrize(
     ("language", "source"),
     [
