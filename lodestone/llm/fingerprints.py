@@ -7,15 +7,17 @@ at local maxima of the labels, and a phrase is named by a hash of its symbols.
 boundary depends on a few symbols around it alone, so equal substrings are parsed alike
 except near their ends, wherever they stand, and share the names of their inner phrases.
 
-The fingerprint holds the ``SIZE`` least hashes of the names from level ``LEVEL`` up, and of
-the text's last name.  Likeness estimates the share of names that two texts have in common.
+The fingerprint holds the ``SIZE`` least hashes of the names from level ``LEVEL`` up (from level 1 up for texts
+of less than ``SHORT`` code points, which have few others), and of the text's last name.  Likeness estimates the
+share of names that two texts have in common.  ``signatures`` gives all names of every text, with their levels and places.
 
 Parsing works on all texts of a chunk at once.
 
 Defined results: a null text counts as empty; an empty text has the empty fingerprint, which is
 like itself and unlike any other.  Equal texts have equal fingerprints.  Rows stay one by
 one; rows of equal id are ordered by a hash of their text, and a null id comes last in
-descending order.  In a table of one row the next document is the document itself.
+descending order.  In a table of one row the next document is the document itself.  ``fingerprint`` keeps the other
+columns; the query leaves them out.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from ._text import mix64, slice_hashes
 
 SIZE = 64
 LEVEL = 2
+SHORT = 200
 _LEAST_ID = -(1 << 63)
 
 
@@ -112,33 +115,43 @@ def _phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return slice_hashes(symbols, starts, np.append(starts[1:], len(symbols))), first[starts]
 
 
-def sketches(points: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Ascending least hashes of the names of each text; ``bounds`` are the places in ``points`` where texts start and end."""
-    texts = len(bounds) - 1
-    sizes = np.diff(bounds)
-    alive = np.flatnonzero(sizes > 0)
+def _levels(points: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level: its number, the names of all texts that aren't done, which of them are the first of a text, those texts, and their numbers of names."""
+    alive = np.flatnonzero(np.diff(bounds) > 0)
     names = _point_names(points)
     first = np.zeros(len(names), bool)
     first[bounds[:-1][alive]] = True
-    kept, kept_doc = [], []
     level = 0
     while len(alive):
-        doc_sizes = np.diff(np.flatnonzero(first), append=len(names))
-        single = doc_sizes == 1
-        salt = np.uint64((level * 0x2545F4914F6CDD1D) & (2**64 - 1))
-        if level >= LEVEL:
-            kept.append(mix64(names ^ salt) >> np.uint64(32))
-            kept_doc.append(np.repeat(alive, doc_sizes))
-        if single.any():  # parsed to the top
-            at = np.flatnonzero(first)[single]
-            kept.append(mix64(names[at] + np.uint64(0x94D049BB133111EB)) >> np.uint64(32))
-            kept_doc.append(alive[single])
-            rest = np.repeat(~single, doc_sizes)
+        counts = np.diff(np.flatnonzero(first), append=len(names))
+        yield level, names, first, alive, counts
+        if (single := counts == 1).any():  # parsed to the top
+            rest = np.repeat(~single, counts)
             names, first, alive = names[rest], first[rest], alive[~single]
             if not len(alive):
-                break
+                return
         names, first = _phrases(names, first)
         level += 1
+
+
+def _hashed(names: np.ndarray, level: int) -> np.ndarray:
+    return mix64(names ^ np.uint64((level * 0x2545F4914F6CDD1D) & (2**64 - 1))) >> np.uint64(32)
+
+
+def sketches(points: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Ascending least hashes of the names of each text; ``bounds`` are the places in ``points`` where texts start and end."""
+    texts, sizes = len(bounds) - 1, np.diff(bounds)
+    kept, kept_doc = [], []
+    for level, names, first, alive, counts in _levels(points, bounds):
+        if level >= LEVEL:
+            kept.append(_hashed(names, level))
+            kept_doc.append(np.repeat(alive, counts))
+        elif level and (short := np.repeat(sizes[alive] < SHORT, counts)).any():
+            kept.append(_hashed(names[short], level))
+            kept_doc.append(np.repeat(alive, counts)[short])
+        if (single := counts == 1).any():
+            kept.append(mix64(names[np.flatnonzero(first)[single]] + np.uint64(0x94D049BB133111EB)) >> np.uint64(32))
+            kept_doc.append(alive[single])
     out = [np.zeros(0, np.uint32)] * texts
     if kept:
         value, doc = np.concatenate(kept), np.concatenate(kept_doc)
@@ -164,13 +177,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, a, assume_unique=True).astype(int) @ np.isin(both, b, assume_unique=True) / len(both))
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+
+
 def _parse(texts: list[str]) -> list[np.ndarray]:
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
-    return sketches(points, bounds)
+    return sketches(*_points(texts))
 
 
-def _groups(sizes: list[int], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, n in enumerate(sizes):
         size += n
@@ -193,37 +208,77 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.mapInArrow(each_batch(run), T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.StringType())]))
 
 
+def signatures(df: DataFrame, text: str = "text", out: str = "names") -> DataFrame:
+    """Adds the names of all phrases of every text from level 1 up: an array of (level, name), level by level in the order of the text.
+
+    Equal substrings have equal names but near their ends; so a passage that two texts share shows, however long they are.  A column of that name is replaced.
+    """
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != out]
+    kind = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("name", T.LongType())]), False)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+        for row, end in _groups([len(t) for t in texts]):
+            names, levels, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for level, found, _, alive, counts in _levels(*_points(texts[row:end])):
+                if level:
+                    names.append(found.view(np.int64))
+                    levels.append(np.full(len(found), level, np.int32))
+                    docs.append(np.repeat(alive, counts))
+            doc = np.concatenate(docs)
+            order = np.argsort(doc, kind="stable")
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(levels)[order]), pa.array(np.concatenate(names)[order])], ["level", "name"])
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=end - row)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)).slice(row, end - row) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), flat)], [*kept, out])
+
+    return df.mapInArrow(each_batch(run), T.StructType([df.schema[c] for c in kept] + [T.StructField(out, kind)]))
+
+
+def _places(ids: pa.Array, ties: pa.Array) -> np.ndarray:
+    """Sixteen bytes for each row that ascend as the id descends and then the tie ascends."""
+    sign = np.uint64(1 << 63)
+    both = np.stack([~np.asarray(ids, np.int64).view(np.uint64) ^ sign, np.asarray(ties, np.int64).view(np.uint64) ^ sign], axis=1)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+
+
+def _cuts(quantiles: list[int]) -> np.ndarray:
+    """Places of the cuts, in order; an id that is several quantiles is cut between by its ties, which are hashes."""
+    ids, counts = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    ties = [np.array([int((i + 1) * 2**64 / (c + 1)) - 2**63 for i in range(c)] if c > 1 else [-(2**63)], np.int64) for c in counts.tolist()]
+    return np.unique(_places(np.repeat(ids, counts), np.concatenate(ties))) if len(ids) else np.zeros(0, "S16")
+
+
 def with_next(df: DataFrame, run, schema: str) -> DataFrame:
-    """Applies ``run`` to an iterator of (doc_id, text, ahead) in descending order of id, dealt by ranges of it.
+    """Applies ``run`` to an iterator of (doc_id, text, ahead) in descending order of id, rows of one id by a hash of the text, dealt by ranges of both.
 
     After the rows of a range comes the first row of the next one (after the last range: of the first), marked ``ahead``: a task
-    sees every row of its own together with the one that follows it.  The driver holds two numbers for each range.
+    sees every row of its own together with the one that follows it.  The driver holds three numbers for each range.
     """
-    spark = df.sparkSession
-    n = partitions(spark)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(_LEAST_ID))
+    n = partitions(df.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("k"), F.xxhash64(text).alias("tie"))
     shares = [i / n for i in range(1, n)] or [0.5]
-    cuts = rows.select(F.percentile_approx(key, shares, 100 * n)).first()[0]
-    cuts = np.unique(np.array(cuts if cuts else [], np.int64))
-    ranges = len(cuts) + 1
-
-    @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        return pa.array(len(cuts) - np.searchsorted(cuts, np.asarray(ids, np.int64), "left"), pa.int32())
-
-    tops = rows.select(key.alias("k")).withColumn("r", range_of("k")).groupBy("r").agg(F.max("k").alias("top")).collect()
-    tops = sorted((r["r"], r["top"]) for r in tops)
-    before = {r: (tops[i - 1][0], top) for i, (r, top) in enumerate(tops)}  # the first range comes after the last
-    place = F.create_map([F.lit(x) for r, (p, top) in before.items() for x in (r, F.struct(F.lit(p).alias("to"), F.lit(top).cast("long").alias("top")))]) if before else None
-    dealt = rows.withColumn("k", key).withColumn("r", range_of("k")).withColumn("tie", F.xxhash64("text"))
-    if place is not None:
-        dealt = dealt.withColumn("head", place[F.col("r")])
-        to = F.when(F.col("k") == F.col("head.top"), F.array("r", F.col("head.to"))).otherwise(F.array("r"))
-        dealt = dealt.select("doc_id", "text", "k", "tie", F.posexplode(to).alias("ahead", "r"))
-    else:
-        dealt = dealt.select("doc_id", "text", "k", "tie", F.lit(0).alias("ahead"), "r")
-    dealt = dealt.repartitionById(max(ranges, 1), "r").sortWithinPartitions("r", "ahead", F.desc("k"), "tie")
+    cuts = _cuts(rows.select(F.percentile_approx("k", shares, 100 * n)).first()[0] or [])
+
+    def ranges(ids: pa.Array, ties: pa.Array) -> np.ndarray:
+        return np.searchsorted(cuts, _places(ids, ties), "right").astype(np.int32)
+
+    range_of = F.arrow_udf(lambda ids, ties: pa.array(ranges(ids, ties)), "int")
+    heads = rows.select(range_of("k", "tie").alias("r"), F.bitwise_not("k").alias("down"), "tie").groupBy("r").agg(F.min(F.struct("down", "tie")).alias("head")).collect()
+    heads = sorted((h["r"], ~h["head"]["down"], h["head"]["tie"]) for h in heads)
+    first = _places(pa.array([h[1] for h in heads], pa.int64()), pa.array([h[2] for h in heads], pa.int64()))
+    own = np.array([h[0] for h in heads], np.int32)
+
+    def before(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        """The range before, which a head goes to as well; the first range comes after the last."""
+        at = np.searchsorted(own, ranges(ids, ties))
+        return pa.array(np.roll(own, 1)[at], mask=first[at] != _places(ids, ties))
+
+    dealt = rows.withColumn("r", range_of("k", "tie")).withColumn("to", F.arrow_udf(before, "int")("k", "tie"))
+    dealt = dealt.select("doc_id", "text", "k", "tie", F.posexplode(F.array_compact(F.array("r", "to"))).alias("ahead", "r"))
+    dealt = dealt.repartitionById(len(cuts) + 1, "r").sortWithinPartitions("r", "ahead", F.desc("k"), "tie")
     return dealt.select("doc_id", "text", (F.col("ahead") > 0).alias("ahead")).mapInArrow(run, schema)
 
 
@@ -259,7 +314,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, text, ahead in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if texts and (ahead or size >= 1 << 19):
+                if texts and (ahead or size >= 1 << 18):
                     yield rows(ids, texts, text)
                     ids, texts, size = [], [], 0
                 if not ahead:
