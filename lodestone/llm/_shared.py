@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -154,6 +155,13 @@ class Bitmap:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _release() -> None:
+    """Gives memory that is no longer used back to the machine: idle workers live on beside those that work."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def each_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
     """A mapInArrow function that calls ``f`` on every batch that has rows."""
 
@@ -161,5 +169,6 @@ def each_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Calla
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+        _release()
 
     return run

@@ -36,7 +36,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, CHUNK_BYTES + 1024)
+        size = 1 << max(n, CHUNK_BYTES).bit_length()
         for base, name in ((_P, "_powers"), (_PINV, "_inverses")):
             full = np.full(size, base, np.uint64)
             full[0] = 1
@@ -58,8 +58,9 @@ def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def byte_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first row, end row, bytes, offsets) of a string column; null counts as empty."""
+def byte_chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first row, end row, bytes, offsets) of a string column, in chunks of ``size`` bytes; null counts as empty."""
+    size = size or CHUNK_BYTES
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
         column = column.fill_null("")
@@ -69,7 +70,7 @@ def byte_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1, row + 1)
+        end = max(int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1, row + 1)
         end = min(end, len(column))
         part = offsets[row : end + 1]
         yield row, end, data[part[0] : part[-1]], part - part[0]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, each_batch, ragged_list, table
+from ._shared import binary_slices, bounded_batches, each_batch, ragged_list, table
 from ._text import byte_chunks, ragged
 from .pretokens import pieces
 
@@ -171,11 +171,24 @@ def chunk_ids(data: np.ndarray, offsets: np.ndarray, encode_missing: Callable[[l
     return known[ragged(at[codes], counts)], sums[first[1:]] - sums[first[:-1]]
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``token_ids`` (array of int) and ``token_ends`` (array of int: the byte at which each token ends)."""
+def _decoded(ranks: Ranks, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The bytes of the tokens of each row; ``counts`` are the tokens of a row."""
+    lengths = ranks.lengths[ids]
+    sums = np.concatenate(([0], np.cumsum(lengths)))
+    ends = np.cumsum(counts)
+    return binary_slices(ranks.blob[ragged(ranks.places[ids], lengths)], sums[ends] - sums[ends - counts]).cast(pa.binary())
+
+
+def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Adds ``token_ids`` (array of int) and ``token_ends`` (array of int: the byte at which each token ends).
+
+    With ``decoded`` also what the ids decode to (binary), out of the ids alone: the round trip in one pass.
+    """
     bounded_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in ("token_ids", "token_ends")]
-    out = T.StructType([df.schema[c] for c in kept] + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("token_ends", T.ArrayType(T.IntegerType(), False))])
+    added = ["token_ids", "token_ends", *["decoded"] * decoded]
+    kept = [c for c in df.columns if c not in added]
+    kinds = [T.ArrayType(T.IntegerType(), False), T.ArrayType(T.IntegerType(), False), T.BinaryType()]
+    out = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, k) for n, k in zip(added, kinds, strict=False)])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ranks, cache = _ranks(path)
@@ -184,7 +197,8 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             ends = np.cumsum(ranks.lengths[ids])
             ends -= np.repeat(offsets[:-1], counts)
             columns = [batch.column(batch.schema.get_field_index(c)).slice(row, end - row) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, ragged_list(ids, counts, pa.int32()), ragged_list(ends.astype(np.int32), counts, pa.int32())], [*kept, "token_ids", "token_ends"])
+            made = [ragged_list(ids, counts, pa.int32()), ragged_list(ends.astype(np.int32), counts, pa.int32()), *([_decoded(ranks, ids, counts)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*columns, *made], [*kept, *added])
 
     return df.mapInArrow(each_batch(run), out)
 
@@ -201,16 +215,8 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
         for row in range(0, batch.num_rows, step):
             part = batch.slice(row, step)
             lists = part.column(part.schema.get_field_index(ids))
-            counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            flat = np.asarray(lists.flatten(), np.int64)
-            lengths = ranks.lengths[flat]
-            data = ranks.blob[ragged(ranks.places[flat], lengths)]
-            sums = np.concatenate(([0], np.cumsum(lengths)))
-            ends = np.cumsum(counts)
-            sizes = sums[ends] - sums[ends - counts]
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), decoded], [*kept, "decoded"])
+            found = _decoded(ranks, np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths().fill_null(0), np.int64))
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), found], [*kept, "decoded"])
 
     return df.mapInArrow(each_batch(run), out)
 
@@ -220,8 +226,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return decode(encoded, path).select(
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -39,6 +39,8 @@ from ._text import Words, byte_chunks, mix64, ragged
 
 #: UTF-8 bytes of benchmark texts in one broadcast; a longer text makes a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Text of one shard, about.
+SHARD_BYTES = 1 << 20
 _END = np.uint64(0)
 
 
@@ -202,7 +204,7 @@ def _marker(shared, text: str, columns: list[str], added: list[str], before: boo
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
         named = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        for row, end, data, offsets in byte_chunks(named[text]):
+        for row, end, data, offsets in byte_chunks(named[text], SHARD_BYTES):
             found = Words(data, offsets, alnum=True)
             counts = np.diff(found.bounds)
             left = np.repeat(found.bounds[1:], counts) - np.arange(len(found.hashes))

@@ -50,6 +50,8 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, each_batch, fold, partitions, table, written
 from ._text import Words, byte_chunks, mix64
 
+#: Texts whose distinct words and pairs are asked for together: the larger, the less is asked for twice.
+ASKING_BYTES = 1 << 20
 CLASS_SHARE = 2.0**-10
 BUCKETS = 48
 #: Levels of an estimate, two for each halving.
@@ -157,7 +159,7 @@ def chunked(df: DataFrame) -> DataFrame:
         kinds = np.where(learn, np.where(held, _HELD, _KEPT), _NEW)
         for kind in np.unique(kinds).tolist():
             rows = batch.filter(pa.array(kinds == kind))
-            for row, end, data, offsets in byte_chunks(rows.column("text")):
+            for row, end, data, offsets in byte_chunks(rows.column("text"), ASKING_BYTES):
                 tokens, bounds = _tokens(data, offsets)
                 types, at = np.unique(tokens, return_inverse=True)
                 columns = [
