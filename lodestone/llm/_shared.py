@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,17 +37,29 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: the lineage is cut and survives lost executors."""
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, and stays: what a computation returns."""
     return _write(df, new_path(df.sparkSession, name))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: the lineage is cut and survives lost executors.
+
+    Inside of a ``Scratch`` the table goes with it.
+    """
+    open_ = getattr(_scratches, "open", None)
+    return open_[-1].written(df, name) if open_ else kept(df, name)
+
+
 #: Documents for which a table of a row or a few each gets a file.
 FILE_DOCUMENTS = 50_000
 
 
+_scratches = threading.local()
+
+
 class Scratch:
-    """Written tables and broadcasts of one computation, removed when it ends."""
+    """Written tables and broadcasts of one computation, removed when it ends; its result is ``kept``."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths, self.broadcasts, self.files = spark, [], [], partitions(spark)
@@ -64,6 +77,7 @@ class Scratch:
         return self.written(df.repartition(self.files), name)
 
     def __enter__(self) -> Scratch:
+        _scratches.open = [*getattr(_scratches, "open", []), self]
         return self
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
@@ -75,6 +89,7 @@ class Scratch:
         return self.broadcasts[-1]
 
     def __exit__(self, *_: object) -> None:
+        _scratches.open = _scratches.open[:-1]
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -155,7 +170,7 @@ class Bitmap:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _release() -> None:
+def release() -> None:
     """Gives memory that is no longer used back to the machine: idle workers live on beside those that work."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -169,6 +184,6 @@ def each_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Calla
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
-        _release()
+        release()
 
     return run

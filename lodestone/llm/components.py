@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._shared import Scratch
@@ -30,9 +30,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     current, before = scratch.few(current, "edges"), None
     while True:
-        current = scratch.few(_small_star(_large_star(current)), "edges")
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        seen = Observation()
+        edges_ = _small_star(_large_star(current)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        current = scratch.few(edges_, "edges")
+        state = seen.get
+        if state == before or not state["n"]:
             break
         before = state
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b").distinct())

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Bitmap, Scratch, binary_slices, bounded_batches, each_batch, table, written
+from ._shared import Bitmap, Scratch, binary_slices, bounded_batches, each_batch, kept, table, written
 from ._text import Words, byte_chunks, mix64, ragged
 from .components import components
 
@@ -363,7 +363,7 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         named = named.join(least, "component").select("fp1", "fp2", "component_id", F.col("component").alias("group"))
         slim = prints.select("doc_id", F.col("n").alias("n_shingles"), "fp1", "fp2")
         grouped = slim.join(named, ["fp1", "fp2"], "left")
-        return written(grouped.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group", "fp1", "fp2"), "groups")
+        return kept(grouped.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group", "fp1", "fp2"), "groups")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

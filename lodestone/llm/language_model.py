@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, each_batch, fold, partitions, table, written
+from ._shared import Scratch, bounded_batches, each_batch, fold, kept, partitions, release, table, written
 from ._text import Words, byte_chunks, mix64
 
 #: Texts whose distinct words and pairs are asked for together: the larger, the less is asked for twice.
@@ -256,6 +256,8 @@ def answered(chunks: DataFrame, shared, classes: int, ranges: int) -> DataFrame:
             pa.array([_pack(held[x]) if r[2] == _HELD else None for r, x in zip(rows, slices, strict=True)], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "part", "n", "total", "held"])
+        del rows, at, total, held, columns, counts, kinds, slices
+        release()
 
     asked = chunks.mapInArrow(each_batch(ask), "part int, chunk long, kind int, n int, keys binary, counts binary")
     return asked.repartitionById(ranges, F.col("part")).mapInArrow(answer, "chunk long, kind int, part int, n int, total binary, held binary")
@@ -346,6 +348,7 @@ def learn(df: DataFrame, words: DataFrame) -> Model:
     classes = len(common) + 1
     shared = spark.sparkContext.broadcast((common, kinds))
     chunks = written(chunked(df), "chunks")
+    bounded_batches(spark, rows=4000, size="8m")  # of chunks and answers from here on
     cells = count_classes(chunks, shared, classes)
     answers = _written_clean(answered(chunks, shared, classes, _ranges(spark, total)), "answers")
     both = cells.sum(axis=0)
@@ -441,8 +444,10 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the model of those outside fold 0."""
     bounded_batches(spark, rows=4000, size="16m")
     documents = with_folds(table(spark, sf_dir, "documents"))
-    words = _written_clean(count_words(documents), "words")
-    model = learn(documents, words)
-    return score(documents, words, model).select(
+    with Scratch(spark):
+        words = _written_clean(count_words(documents), "words")
+        model = learn(documents, words)
+        scores = kept(score(documents, words, model), "scores")
+    return scores.select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

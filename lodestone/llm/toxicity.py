@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, each_batch, fold, table, written
+from ._shared import Scratch, bounded_batches, each_batch, fold, table, written
 
 #: Labelled rows of each class that the fit takes at most.
 MAX_ROWS = 10_000
@@ -226,6 +226,11 @@ def _labelled(documents: DataFrame, labels: DataFrame, max_rows: int) -> tuple[D
 
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fits lexicon and curve; only lexicon entries and two numbers for each labelled row come to the driver."""
+    with Scratch(documents.sparkSession):
+        return _learned(documents, labels, max_rows, exceptions)
+
+
+def _learned(documents: DataFrame, labels: DataFrame, max_rows: int, exceptions: tuple[str, ...]) -> Lexicon:
     bounded_batches(documents.sparkSession)
     rows, totals = _labelled(documents, labels, max_rows)
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 20)
