@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, bounded_batches, each_batch, fold, kept, partitions, release, table, written
+from ._shared import bounded_batches, each_batch, fold, partitions, release, table, written
 from ._text import Words, byte_chunks, mix64
 
 #: Texts whose distinct words and pairs are asked for together: the larger, the less is asked for twice.
@@ -235,10 +235,20 @@ def answered(chunks: DataFrame, shared, classes: int, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "kind", "n", "keys", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task has all that was asked for in its range."""
-        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "kind", "n")), *([x.as_buffer() for x in batch.column(c)] for c in ("keys", "counts")), strict=True)]
-        if not rows:
-            return
+        """A task has all that was asked for in its ranges, one range after the other."""
+        rows: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "kind", "n")), *([x.as_buffer() for x in batch.column(c)] for c in ("keys", "counts")), strict=True):
+                if rows and r[0] != rows[0][0]:
+                    yield of_range(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield of_range(rows)
+        del rows
+        release()
+
+    def of_range(rows: list[tuple]) -> pa.RecordBatch:
         keys = np.concatenate([np.cumsum(_unpack(r[4], r[3]), dtype=np.uint64) for r in rows])
         counts = np.concatenate([_unpack(r[5], r[3]).astype(np.int64) for r in rows])
         kinds = np.repeat([r[2] for r in rows], [r[3] for r in rows])
@@ -255,12 +265,11 @@ def answered(chunks: DataFrame, shared, classes: int, ranges: int) -> DataFrame:
             pa.array([_pack(total[x]) for x in slices], pa.binary()),
             pa.array([_pack(held[x]) if r[2] == _HELD else None for r, x in zip(rows, slices, strict=True)], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "part", "n", "total", "held"])
-        del rows, at, total, held, columns, counts, kinds, slices
-        release()
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "part", "n", "total", "held"])
 
     asked = chunks.mapInArrow(each_batch(ask), "part int, chunk long, kind int, n int, keys binary, counts binary")
-    return asked.repartitionById(ranges, F.col("part")).mapInArrow(answer, "chunk long, kind int, part int, n int, total binary, held binary")
+    dealt = asked.repartitionById(ranges, F.col("part")).coalesce(partitions(chunks.sparkSession))
+    return dealt.mapInArrow(answer, "chunk long, kind int, part int, n int, total binary, held binary")
 
 
 def _written_clean(df: DataFrame, name: str) -> DataFrame:
@@ -444,10 +453,9 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the model of those outside fold 0."""
     bounded_batches(spark, rows=4000, size="16m")
     documents = with_folds(table(spark, sf_dir, "documents"))
-    with Scratch(spark):
-        words = _written_clean(count_words(documents), "words")
-        model = learn(documents, words)
-        scores = kept(score(documents, words, model), "scores")
+    words = _written_clean(count_words(documents), "words")
+    model = learn(documents, words)
+    scores = score(documents, words, model)
     return scores.select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
