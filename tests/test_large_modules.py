@@ -1,11 +1,15 @@
-"""Modules that grow with the tables: time in proportion to their size."""
+"""Modules that grow with the tables: time in proportion to their size, and a task for each."""
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
+from support import SF
 
 from lodestone.operators import chunks as C
 from lodestone.operators import parse as P
+from lodestone.plans import generated as g
+from lodestone.queries import QUERIES
 
 
 def seconds_of_chunks(spark, n):
@@ -30,3 +34,15 @@ def test_chunks_take_time_in_proportion_to_a_files_definitions(spark):
     seconds_of_chunks(spark, 100)  # code is made and compiled
     small, large = seconds_of_chunks(spark, 2_500), seconds_of_chunks(spark, 20_000)
     assert large < 12 * small  # eight times the file; 64 times the work, where each definition copies it
+
+
+def test_each_module_has_a_task_of_its_own(spark):
+    files, listing = g.nation_modules(spark, SF)
+    by_task = files.groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in by_task] == [1] * 25
+    assert {r["path"] for r in listing.collect()} == {r["path"] for r in files.select("path").collect()}
+
+
+@pytest.mark.parametrize("name", ["chunk_kinds"])
+def test_query_parses_each_module_in_a_task_of_its_own(spark, name):
+    assert "shufflepartitionidpassthrough" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
