@@ -1,5 +1,6 @@
 """Modules that grow with the tables: time in proportion to their size, and a task for each."""
 
+import gc
 import time
 
 import pytest
@@ -8,6 +9,7 @@ from support import SF
 
 from lodestone.operators import chunks as C
 from lodestone.operators import parse as P
+from lodestone.parsing import python_source
 from lodestone.plans import generated as g
 from lodestone.queries import QUERIES
 
@@ -43,6 +45,19 @@ def test_each_module_has_a_task_of_its_own(spark):
     assert {r["path"] for r in listing.collect()} == {r["path"] for r in files.select("path").collect()}
 
 
-@pytest.mark.parametrize("name", ["chunk_kinds"])
+def test_trees_are_built_without_searching_them_for_cycles(monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "front_end", lambda language: lambda content: seen.append(gc.isenabled()) or python_source.parse(content))
+    assert P.parse_one("python", b"def f(x):\n    return x\n")["parse_error"] is None
+    assert P.parse_one("python", b"def f(:\n")["parse_error"] == "MalformedSourceError"
+    assert seen == [False, False] and gc.isenabled()
+
+
+def test_sources_without_a_hash_sign_are_not_searched_for_comments(monkeypatch):
+    monkeypatch.setattr(python_source.tokenize, "generate_tokens", lambda readline: 1 / 0)
+    assert [d.name for d in python_source.parse(b"def f(x):\n    return x\n").defs] == ["f"]
+
+
+@pytest.mark.parametrize("name", ["chunk_kinds", "py_chunks", "status_counts"])
 def test_query_parses_each_module_in_a_task_of_its_own(spark, name):
     assert "shufflepartitionidpassthrough" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
