@@ -58,6 +58,6 @@ def test_sources_without_a_hash_sign_are_not_searched_for_comments(monkeypatch):
     assert [d.name for d in python_source.parse(b"def f(x):\n    return x\n").defs] == ["f"]
 
 
-@pytest.mark.parametrize("name", ["chunk_kinds", "py_chunks", "status_counts", "file_skeletons", "report_totals", "resolved_refs", "sample_resolved", "sample_unresolved", "skeleton_texts"])
+@pytest.mark.parametrize("name", ["chunk_kinds", "py_chunks", "status_counts", "file_skeletons", "report_totals", "resolved_refs", "sample_resolved", "sample_unresolved", "skeleton_texts", "symbol_index"])
 def test_query_parses_each_module_in_a_task_of_its_own(spark, name):
     assert "shufflepartitionidpassthrough" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
