@@ -11,6 +11,7 @@ from lodestone.operators import chunks as C
 from lodestone.operators import parse as P
 from lodestone.parsing import python_source
 from lodestone.plans import generated as g
+from lodestone.plans.repository import ingest
 from lodestone.queries import QUERIES
 
 
@@ -61,3 +62,60 @@ def test_sources_without_a_hash_sign_are_not_searched_for_comments(monkeypatch):
 @pytest.mark.parametrize("name", ["chunk_kinds", "py_chunks", "status_counts", "file_skeletons", "report_totals", "resolved_refs", "sample_resolved", "sample_unresolved", "skeleton_texts", "symbol_index"])
 def test_query_parses_each_module_in_a_task_of_its_own(spark, name):
     assert "shufflepartitionidpassthrough" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def optimized(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_totals_make_no_texts_and_no_ids_of_references(spark):
+    plan = optimized(QUERIES["report_totals"](spark, SF)).split("InMemoryRelation")
+    assert "decode(" not in plan[0] and plan[0].count("sha1(") <= 1
+
+
+def test_modules_are_written_once_for_all_conditions_on_them(spark):
+    files, _ = g.nation_modules(spark, SF)
+    tested = files.where((F.octet_length("content") > 10) & (F.substring("content", 1, 6) == F.lit(b"import")))
+    assert optimized(tested).count("encode(") == 1
+    assert tested.count() == 25
+
+
+def test_a_name_is_resolved_once_however_often_a_module_refers_to_it(spark):
+    calls = "".join(f"def f{i}(x):\n    return g(x) + self.f{i}(x) + len(x) + selfish(x)\n" for i in range(50))
+    text = f"def g(x):\n    return x\nclass A:\n    def m(self):\n        return self.n() + self.n()\n    def n(self):\n        pass\n{calls}g(1)\n"
+    files = spark.createDataFrame([("a.py", len(text), bytearray(text.encode()), None)], "path string, length long, content binary, error string")
+    r = ingest(files, files.select("path"), ".")
+    names = {(x["text"], x["self_class"]): (x["n"], x["status"]) for x in r.counted_names().collect()}
+    assert names["g", None] == (51, "local") and names["len", None] == (50, "builtin") and names["self.n", "A"] == (2, "local")
+    assert names["self.f7", "f7"] == (1, "local") and names["selfish", "f7"] == (1, "unresolved")
+    assert r.totals().first().asDict() == {"files": 1, "chunks": 53, "refs": 203, "local": 103, "external": 0, "builtin": 50, "unresolved": 50}
+    every = r.refs.collect()
+    assert len(every) == len({x["ord"] for x in every}) == 203
+    assert all((x["status"] == "local") == (x["points_to"] is not None) == (x["text"] == "g" or x["text"].startswith("self.")) for x in every)
+
+
+@pytest.mark.parametrize("source", ["global a, b\nmatch x:\n    case True: f()\n    case {'k': g(), **r}: pass\n", "def f(*, a, b=h()):\n    x: int = k(lambda y=m(): y)\n    {**n(), 1: 2}\n"])
+def test_walk_skips_what_is_no_node(source):
+    import ast
+
+    source = source.replace("g()", "g.h")
+    calls = {ast.unparse(x.func) for x in ast.walk(ast.parse(source)) if isinstance(x, ast.Call)}
+    assert {r[1] for r in python_source.parse(source.encode()).refs} == calls
+
+
+def test_walk_takes_little_more_time_than_the_interpreters_parser():
+    import ast
+
+    content = "".join(f"def f{i}(x):\n    return g(x + {i}, [x, 'a', None, x.y.z])\n\n\n" for i in range(10_000))
+    least = lambda f, x: min(_seconds(f, x) for _ in range(3))
+    assert least(python_source.parse, content.encode()) < 2.1 * least(ast.parse, content)
+
+
+def _seconds(f, x):
+    gc.collect()
+    gc.disable()
+    at = time.monotonic()
+    f(x)
+    took = time.monotonic() - at
+    gc.enable()
+    return took
