@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import SF
 
+from lodestone import queries
 from lodestone.operators import chunks as C
 from lodestone.operators import parse as P
 from lodestone.parsing import python_source
@@ -119,3 +120,14 @@ def _seconds(f, x):
     took = time.monotonic() - at
     gc.enable()
     return took
+
+
+def test_targets_meet_counted_names_and_not_each_reference(spark):
+    plan = optimized(QUERIES["resolved_refs"](spark, SF)).split("InMemoryRelation")
+    assert "decode(" not in plan[0]
+    text = "def g(x):\n    return x\ndef h(x):\n    return g(g(x))\nclass A(g):\n    pass\ng(1)\ng.k(1)\n"
+    files = spark.createDataFrame([("a.py", len(text), bytearray(text.encode()), None)], "path string, length long, content binary, error string")
+    r = ingest(files, files.select("path"), ".", skeleton_threshold=10)
+    assert {(x["text"], x["kind"], x["n"], x["status"]) for x in r.counted_names("kind").collect()} == {("g", "call", 3, "local"), ("g", "inheritance", 1, "local"), ("g.k", "call", 1, "local")}
+    rows = queries._with_targets(r).collect()
+    assert {(x["text"], x["kind"], x["n"], x["hits"], x["target_path"]) for x in rows} == {("g", "call", 3, 3, "a.py"), ("g", "inheritance", 1, 1, "a.py"), ("g.k", "call", 1, 1, "a.py")}
