@@ -131,3 +131,32 @@ def test_targets_meet_counted_names_and_not_each_reference(spark):
     assert {(x["text"], x["kind"], x["n"], x["status"]) for x in r.counted_names("kind").collect()} == {("g", "call", 3, "local"), ("g", "inheritance", 1, "local"), ("g.k", "call", 1, "local")}
     rows = queries._with_targets(r).collect()
     assert {(x["text"], x["kind"], x["n"], x["hits"], x["target_path"]) for x in rows} == {("g", "call", 3, 3, "a.py"), ("g", "inheritance", 1, 1, "a.py"), ("g.k", "call", 1, 1, "a.py")}
+
+
+SOURCES = {
+    "python": "import a\n# c\n@d(1)\nclass A(B):\n    x = f(1)\n    def m(self, y=g()):\n        if y:\n            import b\n            def n():\n                return h()\n        return [k(z) for z in y]\n\n\nwith o() as p:\n    async def q(): pass\nmatch r:\n    case 1:\n        def s(): pass\nt = lambda: u()\n",
+    "javascript": "import a from 'b';\nfunction f(x) { return g(x); }\nclass A extends B { m() { return this.n(); } }\n",
+    "typescript": "import a from 'b';\nfunction f(x: number): number { return g(x); }\n",
+    "go": 'package p\n\nimport "fmt"\n\nfunc f(x int) int {\n\treturn g(x)\n}\n',
+}
+
+
+@pytest.mark.parametrize("language", sorted(SOURCES))
+@pytest.mark.parametrize("wanted", ["root", "defs", "raw_imports", "raw_refs"])
+def test_a_list_is_the_same_without_the_others(language, wanted):
+    content = SOURCES[language].encode()
+    full, part = P.parse_one(language, content), P.parse_one(language, content, (wanted,))
+    lists = {"root", "defs", "raw_imports", "raw_refs"}
+    assert all(full[x] for x in lists)
+    assert part == {k: v if k == wanted or k not in lists else None for k, v in full.items()}
+
+
+@pytest.mark.parametrize("name", ["file_skeletons"])
+def test_query_over_one_table_keeps_no_parsed_files(spark, name):
+    frame = QUERIES[name](spark, SF)
+    assert "InMemoryRelation" not in optimized(frame)
+
+
+def test_overviews_need_neither_definitions_nor_their_texts(spark):
+    plan = optimized(QUERIES["file_skeletons"](spark, SF)).split("MapInArrow")[0]
+    assert "root" in plan and "decode(" not in plan and "defs" not in plan
