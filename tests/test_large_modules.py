@@ -151,12 +151,21 @@ def test_a_list_is_the_same_without_the_others(language, wanted):
     assert part == {k: v if k == wanted or k not in lists else None for k, v in full.items()}
 
 
-@pytest.mark.parametrize("name", ["file_skeletons"])
+@pytest.mark.parametrize("name", ["file_skeletons", "skeleton_texts"])
 def test_query_over_one_table_keeps_no_parsed_files(spark, name):
     frame = QUERIES[name](spark, SF)
     assert "InMemoryRelation" not in optimized(frame)
 
 
+def test_texts_of_skeletons_are_made_without_those_of_whole_definitions(spark):
+    frame = QUERIES["skeleton_texts"](spark, SF)
+    plan = optimized(frame).split("MapInArrow")[0]
+    assert "root" not in plan and "sha1(" not in plan and "kind" not in plan.replace("kinds", "")
+    rows = frame.collect()
+    everything = g.nations(spark, SF).plain_chunks.where("kind = 'definition_skeleton'").select("full_name", "code").collect()
+    assert rows and sorted(rows) == sorted(everything)
+
+
 def test_overviews_need_neither_definitions_nor_their_texts(spark):
     plan = optimized(QUERIES["file_skeletons"](spark, SF)).split("MapInArrow")[0]
     assert "root" in plan and "decode(" not in plan and "defs" not in plan
