@@ -151,12 +151,17 @@ def test_a_list_is_the_same_without_the_others(language, wanted):
     assert part == {k: v if k == wanted or k not in lists else None for k, v in full.items()}
 
 
-@pytest.mark.parametrize("name", ["file_skeletons", "skeleton_texts"])
+@pytest.mark.parametrize("name", ["file_skeletons", "skeleton_texts", "symbol_index"])
 def test_query_over_one_table_keeps_no_parsed_files(spark, name):
     frame = QUERIES[name](spark, SF)
     assert "InMemoryRelation" not in optimized(frame)
 
 
+def test_index_is_made_without_texts(spark):
+    plan = optimized(QUERIES["symbol_index"](spark, SF)).split("MapInArrow")[0]
+    assert "defs" in plan and not any(x in plan for x in ("decode(", "sha1(", "root", "raw_refs"))
+
+
 def test_texts_of_skeletons_are_made_without_those_of_whole_definitions(spark):
     frame = QUERIES["skeleton_texts"](spark, SF)
     plan = optimized(frame).split("MapInArrow")[0]
