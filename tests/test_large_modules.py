@@ -174,3 +174,13 @@ def test_texts_of_skeletons_are_made_without_those_of_whole_definitions(spark):
 def test_overviews_need_neither_definitions_nor_their_texts(spark):
     plan = optimized(QUERIES["file_skeletons"](spark, SF)).split("MapInArrow")[0]
     assert "root" in plan and "decode(" not in plan and "defs" not in plan
+
+
+@pytest.mark.parametrize("name", ["sample_unresolved"])
+def test_samples_are_made_without_ids_of_references_chunks(spark, name):
+    plan = optimized(QUERIES[name](spark, SF)).split("InMemoryRelation")
+    assert plan[0].count("sha1(") <= 1 and "decode(" not in plan[0]
+    status, n = {"sample_resolved": ("local", 10), "sample_unresolved": ("unresolved", 20)}[name]
+    refs = [r for r in g.nations(spark, SF).refs.collect() if r["status"] == status]
+    expected = sorted((r["file_path"], r["chunk_ord"], r["ord"], r["chunk_name"], r["text"]) for r in refs)[:n]
+    assert [tuple(r) for r in QUERIES[name](spark, SF).collect()] == [(e[0], e[3], e[4]) for e in expected]
