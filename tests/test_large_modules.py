@@ -176,7 +176,7 @@ def test_overviews_need_neither_definitions_nor_their_texts(spark):
     assert "root" in plan and "decode(" not in plan and "defs" not in plan
 
 
-@pytest.mark.parametrize("name", ["sample_unresolved"])
+@pytest.mark.parametrize("name", ["sample_resolved", "sample_unresolved"])
 def test_samples_are_made_without_ids_of_references_chunks(spark, name):
     plan = optimized(QUERIES[name](spark, SF)).split("InMemoryRelation")
     assert plan[0].count("sha1(") <= 1 and "decode(" not in plan[0]
